@@ -58,6 +58,13 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*names)
 
 
+def vocabulary(name: str) -> str:
+    """The place of a public tokenizer's file; it is installed beside the libraries on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -9,7 +9,7 @@ _STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
 OP2 = rf"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
-         list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
   FROM documents
 ), g AS (
   SELECT doc_id, unnest(range(1, len(w) - 1)) AS p, w FROM d WHERE len(w) >= 3
@@ -23,11 +23,11 @@ WITH d AS (
          length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
          len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
          coalesce(n_repeat_words, 0) AS n_repeat_words,
-         len(list_filter(lines, x -> regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS n_ellipsis,
-         len(list_filter(lines, x -> regexp_matches(x, '^[\x20\x09-\x0D]*[-*•]'))) AS n_bullets,
+         len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS n_ellipsis,
+         len(list_filter(lines, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•]'))) AS n_bullets,
          length(regexp_replace(array_to_string(w, ''), '\P{{L}}', '', 'g')) AS n_letters,
          length(regexp_replace(array_to_string(w, ''), '\P{{Lu}}', '', 'g')) AS n_upper,
-         len(list_distinct(list_filter(w, x -> x IN ({_STOPS})))) AS n_stops
+         len(list_distinct(list_filter(w, lambda x: x IN ({_STOPS})))) AS n_stops
   FROM d LEFT JOIN rep USING (doc_id)
 ), b AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m
