@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Text bytes that a worker handles at once; a longer text is one slice by itself.
 SLICE_BYTES = 4 << 20
@@ -16,7 +17,7 @@ def by_bytes(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES, text:
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0), dtype=np.int64)
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), dtype=np.int64)
         part = np.cumsum(sizes) // limit
         starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
         for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
@@ -25,4 +26,4 @@ def by_bytes(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES, text:
 
 def raw(column: pa.Array) -> list[bytes]:
     """UTF-8 of each text; null is empty."""
-    return pa.compute.fill_null(column.cast(pa.binary()), b"").to_pylist()
+    return pc.fill_null(column.cast(pa.binary()), b"").to_pylist()
