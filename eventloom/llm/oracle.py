@@ -40,4 +40,23 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 FROM b
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_quality_rules": OP2}
+OP5 = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM benchmark
+), bs AS (
+  SELECT DISTINCT item_id, len(w[p : p + least(len(w), 5) - 1]) AS n, array_to_string(w[p : p + least(len(w), 5) - 1], ' ') AS g
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM b WHERE len(w) > 0)
+), lens AS (SELECT DISTINCT n FROM bs),
+ds AS (
+  SELECT DISTINCT doc_id, n, array_to_string(w[p : p + n - 1], ' ') AS g
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, lens WHERE len(w) >= n)
+), hits AS (
+  SELECT doc_id, item_id, count(*) AS n_shared FROM ds JOIN bs USING (n, g) GROUP BY ALL
+), m AS (SELECT item_id, count(*) AS n_item FROM bs GROUP BY item_id)
+SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment FROM hits JOIN m USING (item_id)
+WHERE 100 * n_shared >= 80 * n_item
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_quality_rules": OP2, "op5_decontamination": OP5}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, near_dedup, quality_rules, substring_dedup, token_counts
+from . import bpe, decontaminate, near_dedup, quality_rules, substring_dedup, token_counts
 from .common import table, vocabulary
 
 
@@ -20,6 +20,10 @@ def op4_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digested(bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -36,6 +40,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op4_bpe_encode_decode": op4_bpe_encode_decode,
+    "op5_decontamination": op5_decontamination,
     "op6_near_dedup": op6_near_dedup,
     "op7_substring_dedup": op7_substring_dedup,
     "op9_token_counts": op9_token_counts,
