@@ -19,4 +19,4 @@ def blocked(docs: DataFrame, text_col: str, *, by: str, block_bytes: int = BLOCK
     """Rows with ``block``; the number of blocks follows the bytes of all texts."""
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     n = max(partitions(docs.sparkSession), -(-total // block_bytes))
-    return docs.withColumn("block", F.pmod(F.xxhash64(by), F.lit(n)).cast("int"))
+    return docs.withColumn("block", F.pmod(F.xxhash64(by), F.lit(n)).cast("int").alias("block", metadata={"blocks": n}))
