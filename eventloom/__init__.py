@@ -1 +1 @@
-"""Event queries as Spark jobs."""
+"""Event queries as Spark jobs: a catalog of event types, queries over it, and ready-made views."""
