@@ -6,6 +6,11 @@ has no more rows than there are blocks.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.ipc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,5 +23,34 @@ BLOCK_BYTES = 8 << 20
 def blocked(docs: DataFrame, text_col: str, *, by: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Rows with ``block``; the number of blocks follows the bytes of all texts."""
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    n = max(partitions(docs.sparkSession), -(-total // block_bytes))
+    n = max(1, partitions(docs.sparkSession) if block_bytes <= BLOCK_BYTES else 1, -(-total // block_bytes))
     return docs.withColumn("block", F.pmod(F.xxhash64(by), F.lit(n)).cast("int").alias("block", metadata={"blocks": n}))
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    for b in batches:
+        block = b.column(b.schema.get_field_index("block")).to_numpy()
+        order = np.argsort(block, kind="stable")
+        cuts = np.flatnonzero(np.r_[True, np.diff(block[order]) != 0]) if len(order) else []
+        rest = b.drop_columns(["block"])
+        blocks, blobs = [], []
+        for i, j in zip(cuts, [*cuts[1:], len(order)], strict=True):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rest.schema, options=options) as w:
+                w.write_batch(rest.take(pa.array(order[i:j])))
+            blocks.append(int(block[order[i]]))
+            blobs.append(sink.getvalue().to_pybytes())
+        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(blobs, pa.binary())], ["block", "blob"])
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """``block`` and ``blob``: the rows of each block, compressed in stretches before they are shuffled."""
+    n = rows.schema["block"].metadata["blocks"]
+    out = rows.mapInArrow(_packed, "block int, blob binary")
+    return out.withColumn("block", F.col("block").alias("block", metadata={"blocks": n}))
+
+
+def unpacked(table: pa.Table) -> pa.Table:
+    """The rows of one block."""
+    return pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in table.column("blob")]).combine_chunks()

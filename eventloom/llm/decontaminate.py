@@ -97,11 +97,17 @@ def contaminated(docs: DataFrame, items: DataFrame, *, size: int = SHINGLE, perc
         candidates = found if candidates is None else candidates.union(found)
     if candidates is None:
         candidates = docs.sparkSession.createDataFrame([], f"doc {d.schema['doc'].dataType.simpleString()}, item {of_items.schema['item'].dataType.simpleString()}, len int")
-    wanted = of_items.groupBy("item", "len").agg(F.collect_set("shingle").alias("of_item"))
-    pairs = candidates.join(wanted, ["item", "len"])
-    # Exact containment: the item's shingles themselves among the document's.
-    exact = pairs.join(d, "doc").select("doc", "item", "len", "of_item", words(lower_ascii(F.col("text"))).alias("w"))
-    own = F.expr("transform(sequence(1, greatest(size(w) - len + 1, 1)), i -> array_join(slice(w, i, len), ' '))")
-    exact = exact.select("doc", "item", F.size("of_item").cast("long").alias("n_item"), F.size(F.array_intersect("of_item", own)).cast("long").alias("n_shared"))
-    exact = exact.filter(100 * F.col("n_shared") >= percent * F.col("n_item")).distinct()
+    candidates = stored(candidates, "candidates")
+    # Exact containment: the item's shingles themselves among those of the candidate documents.
+    texts = d.join(candidates.select("doc").distinct(), "doc").select("doc", words(lower_ascii(F.col("text"))).alias("w"))
+    exact = None
+    for n in sorted(lengths):
+        own = shingles(texts, ["doc"], n).select("doc", _joined(n).alias("shingle")).join(of_items.filter(F.col("len") == n), "shingle")
+        own = own.select("doc", "item", "shingle").distinct()
+        exact = own if exact is None else exact.union(own)
+    if exact is None:
+        exact = candidates.select("doc", "item", F.lit("").alias("shingle"))
+    n_item = of_items.groupBy("item").agg(F.count(F.lit(1)).alias("n_item"))
+    exact = exact.join(candidates.select("doc", "item").distinct(), ["doc", "item"]).groupBy("doc", "item").agg(F.count(F.lit(1)).alias("n_shared"))
+    exact = exact.join(n_item, "item").filter(100 * F.col("n_shared") >= percent * F.col("n_item"))
     return exact.select(F.col("doc").alias(id_col), F.col("item").alias(item_id), "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment"))

@@ -17,26 +17,28 @@ that only one block has stays there.
 
 Defined results: a null, empty or blank text is its end token; rows that repeat
 are further texts; without training texts all scores are 0; an empty table gives
-an empty result; other columns are not read. Words and pairs are 64-bit hashes.
+an empty result; other columns are not read. Words are 64-bit hashes, pairs 48-bit ones.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .arrowtext import by_bytes
-from .blocks import blocked
+from .blocks import blocked, packed, unpacked
 from .common import ship
 from .rolling import mix, window_hashes, word_hashes
 
 DISCOUNT = 0.75
 #: Mean text bytes of a block: larger blocks send fewer rows, smaller ones need less memory.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 20 << 20
+#: Bits of a pair's hash, and of a count in a packed row (block, bucket, flag, count).
+PAIR_BITS, COUNT_BITS = 48, 28
+COUNT, TYPES, SUM = 0, 1, 2
 START, END = np.uint64(0x1234567887654321), np.uint64(0x0FEDCBA99ABCDEF0)
 WORDS, PAIRS, WEIGHTS, SIZES = 0, 1, 2, 3
 
@@ -67,7 +69,7 @@ class Tokens:
         self.at = np.flatnonzero(follows)  # tokens that count: words and ends
         self.doc = np.repeat(np.arange(len(self.n)), self.n + 1)
         self.trains = self.train[self.doc]
-        pairs = window_hashes(tokens, 2)[self.at - 1] if len(tokens) else empty
+        pairs = window_hashes(tokens, 2)[self.at - 1] >> np.uint64(64 - PAIR_BITS) if len(tokens) else empty
         self.pairs, first, self.pair = np.unique(pairs, return_index=True, return_inverse=True)
         self.history, self.follower = self.word[self.at - 1][first], self.word[self.at][first]
 
@@ -83,12 +85,12 @@ class Tokens:
 
 def _totals(right: pa.Table, kind: int, keys: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Count over all blocks for each key, and whether other blocks have it; a key that isn't returned is this block's alone."""
-    mine = right.filter(pc.equal(right.column("kind"), kind)) if right.num_rows else right
-    h = mine.column("h").to_numpy().view(np.uint64)
-    at = np.searchsorted(keys, h)
     total, shared = own.astype(np.int64), np.zeros(len(keys), bool)
-    total[at] = mine.column("total").to_numpy()
-    shared[at] = True
+    if right.num_rows:
+        what = right.column("what").to_numpy()
+        mine = what & 3 == kind
+        at = np.searchsorted(keys, right.column("h").to_numpy().view(np.uint64)[mine])
+        total[at], shared[at] = what[mine] >> 2, True
     return total, shared
 
 
@@ -96,36 +98,28 @@ def _bucket(counts: np.ndarray) -> np.ndarray:
     return np.frexp(np.maximum(counts, 1).astype(np.float64))[1] - 1
 
 
-def _rows(h: np.ndarray, block: int, c: np.ndarray, bucket: np.ndarray, types: np.ndarray) -> pa.Table:
-    return pa.table({"h": h.view(np.int64), "block": np.full(len(h), block, np.int32), "c": c.astype(np.int64), "bucket": bucket.astype(np.int32), "types": types.astype(np.int64)})
+def _rows(h: np.ndarray, block: int, bucket: np.ndarray, flag: int, c: np.ndarray) -> pa.Table:
+    at = np.int64(block) << np.int64(COUNT_BITS + 8) | bucket.astype(np.int64) << np.int64(COUNT_BITS + 2) | np.int64(flag) << np.int64(COUNT_BITS) | c.astype(np.int64)
+    return pa.table({"h": h.view(np.int64), "at": at})
 
 
-def _block(t: pa.Table) -> int:
-    return t.column("block")[0].as_py()
+def word_rows(block: pa.Table) -> pa.Table:
+    t = Tokens(unpacked(block))
+    return _rows(t.known, block.column("block")[0].as_py(), np.zeros(len(t.known)), COUNT, t.word_counts())
 
 
-def word_rows(docs: pa.Table) -> pa.Table:
-    t = Tokens(docs)
-    none = np.zeros(len(t.known), np.int64)
-    return _rows(t.known, _block(docs), t.word_counts(), none, none)
-
-
-def pair_rows(docs: pa.Table, right: pa.Table) -> pa.Table:
+def pair_rows(block: pa.Table, right: pa.Table) -> pa.Table:
     """The pairs that another block may have, and for each history bucket the sums over the others."""
-    if not docs.num_rows:
-        z = np.zeros(0, np.uint64)
-        return _rows(z, 0, z, z, z)
-    t, block = Tokens(docs), _block(docs)
+    t, number = Tokens(unpacked(block)), block.column("block")[0].as_py()
     total, shared = _totals(right, WORDS, t.known, t.word_counts())
     counts, bucket = t.pair_counts(), _bucket(total)[t.history]
     send = shared[t.history] & shared[t.follower]
     stay = ~send & (counts > 0)
     types, sums = np.bincount(bucket[stay], minlength=64), np.bincount(bucket[stay], counts[stay], 64)
     b = np.flatnonzero(types)
-    return pa.concat_tables([
-        _rows(t.pairs[send], block, counts[send], bucket[send], np.zeros(int(send.sum()), np.int64)),
-        _rows(mix(np.uint64(block) * np.uint64(64) + b.astype(np.uint64)), block, sums[b], b, types[b]),
-    ])
+    # Sums have keys of their own, above those of pairs.
+    key = lambda flag: (np.uint64(1) << np.uint64(62)) + (np.uint64(number) * np.uint64(64) + b.astype(np.uint64)) * np.uint64(4) + np.uint64(flag)
+    return pa.concat_tables([_rows(t.pairs[send], number, bucket[send], COUNT, counts[send]), _rows(key(TYPES), number, b, TYPES, types[b]), _rows(key(SUM), number, b, SUM, sums[b])])
 
 
 class Automaton:
@@ -146,17 +140,19 @@ class Automaton:
         return np.bincount(t.doc, self.arc[t.pair], len(t.n))
 
 
-def scores(docs: pa.Table, right: pa.Table) -> pa.Table:
+def scores(block: pa.Table, right: pa.Table) -> pa.Table:
+    docs = unpacked(block)
     t = Tokens(docs)
     words, _ = _totals(right, WORDS, t.known, t.word_counts())
     pairs, _ = _totals(right, PAIRS, t.pairs, t.pair_counts())
-    rest = {k: right.filter(pc.equal(right.column("kind"), k)).to_pydict() for k in (WEIGHTS, SIZES)}
-    weights = np.full(64, DISCOUNT)
-    for b, c, types in zip(rest[WEIGHTS]["h"], rest[WEIGHTS]["total"], rest[WEIGHTS]["types"], strict=True):
-        weights[b] = DISCOUNT * types / max(c, 1) or DISCOUNT
-    n, v = (rest[SIZES]["total"][0], rest[SIZES]["types"][0]) if rest[SIZES]["h"] else (0, 0)
-    n, v = n or 0, v or 0
-    model = Automaton(t, words, pairs, weights, n, v).score(t) if docs.num_rows else np.zeros(0)
+    what, h = right.column("what").to_numpy(), right.column("h").to_numpy()
+    rest = lambda kind: dict(zip(h[what & 3 == kind].tolist(), (what[what & 3 == kind] >> 2).tolist(), strict=True))
+    weights, sizes, split = np.full(64, DISCOUNT), rest(SIZES), rest(WEIGHTS)
+    for b in range(64):
+        if types := split.get(2 * b):
+            weights[b] = DISCOUNT * types / split[2 * b + 1]
+    n, v = sizes.get(0, 0), sizes.get(1, 0)
+    model = Automaton(t, words, pairs, weights, n, v).score(t)
     c = words[t.word[t.at]]
     base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
     return pa.table({
@@ -170,29 +166,32 @@ def lm_scores(docs: DataFrame, train, *, id_col: str = "doc_id", text_col: str =
     ship(docs.sparkSession)
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     d = blocked(d, "text", by="id", block_bytes=block_bytes)
-    texts = d.groupBy("block")
-    kinds = "h long, block int, c long, bucket int, types long"
+    blocks = d.schema["block"].metadata["blocks"]
+    texts = packed(d.select("block", "id", "text", "train")).groupBy("block")
+    count, block = F.col("at").bitwiseAND(F.lit((1 << COUNT_BITS) - 1)), F.shiftright("at", COUNT_BITS + 8).cast("int")
+    flag, bucket = F.shiftright("at", COUNT_BITS).bitwiseAND(F.lit(3)), F.shiftright("at", COUNT_BITS + 2).bitwiseAND(F.lit(63))
 
     def over_all(rows: DataFrame) -> DataFrame:
+        # Both uses below need all columns, so they read one exchange.
         key = W.partitionBy("h")
-        return rows.select("*", F.sum("c").over(key).alias("total"), F.count(F.lit(1)).over(key).alias("n"), F.min("block").over(key).alias("one"))
+        return rows.select("h", "at", F.sum(count).over(key).alias("total"), F.count(F.lit(1)).over(key).alias("n"), F.min("at").over(key).alias("one"))
 
     def back(rows: DataFrame, kind: int) -> DataFrame:
-        return rows.filter("n > 1").select("block", F.lit(kind).alias("kind"), "h", "total", F.lit(0).cast("long").alias("types"))
-
-    words = over_all(texts.applyInArrow(word_rows, kinds))
-    pairs = over_all(texts.cogroup(back(words, WORDS).groupBy("block")).applyInArrow(pair_rows, kinds))
-    # Each key counts where its first block is; a pair once, kept-back pairs by their sums.
-    weights = pairs.filter("block = one").groupBy("bucket").agg(F.sum("total").alias("total"), F.sum(F.when(F.col("types") > 0, F.col("types")).otherwise((F.col("total") > 0).cast("long"))).alias("types"))
-    sizes = words.filter(F.col("h") != int(START.view(np.int64))).filter("block = one").agg(F.sum("total").alias("total"), F.sum((F.col("total") > 0).cast("long")).alias("types"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks_of(d) - 1))).alias("block")
-    right = back(words, WORDS).union(back(pairs, PAIRS))
-    right = right.union(weights.select(every, F.lit(WEIGHTS), F.col("bucket").cast("long"), "total", "types"))
-    right = right.union(sizes.select(every, F.lit(SIZES), F.lit(0).cast("long"), "total", "types"))
+        return rows.filter("n > 1").select(block.alias("block"), "h", (F.col("total") * 4 + kind).alias("what"))
+
+    def to_all(rows: DataFrame, kind: int) -> DataFrame:
+        every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
+        return rows.select(every, "h", (F.col("value").cast("long") * 4 + kind).alias("what")).filter("what is not null")
+
+    words = over_all(texts.applyInArrow(word_rows, "h long, at long"))
+    pairs = over_all(texts.cogroup(back(words, WORDS).groupBy("block")).applyInArrow(pair_rows, "h long, at long"))
+    # Each key counts once, where its first row is; pairs that stayed in a block by their sums.
+    first, seen = F.col("at") == F.col("one"), (F.col("total") > 0).cast("long")
+    by_bucket = pairs.filter(first).groupBy(bucket.alias("b")).agg(F.sum(F.when(flag == COUNT, seen).when(flag == TYPES, count)).alias("types"), F.sum(F.when(flag == COUNT, F.col("total")).when(flag == SUM, count)).alias("sum"))
+    split = by_bucket.select(F.inline(F.array(F.struct((F.col("b") * 2).cast("long").alias("h"), F.col("types").alias("value")), F.struct((F.col("b") * 2 + 1).cast("long").alias("h"), F.col("sum").alias("value")))))
+    sizes = words.filter(first & (F.col("h") != int(START.view(np.int64)))).agg(F.sum("total").alias("n"), F.sum(seen).alias("v"))
+    sizes = sizes.select(F.inline(F.array(F.struct(F.lit(0).cast("long").alias("h"), F.col("n").alias("value")), F.struct(F.lit(1).cast("long").alias("h"), F.col("v").alias("value")))))
+    right = back(words, WORDS).union(back(pairs, PAIRS)).union(to_all(split, WEIGHTS)).union(to_all(sizes, SIZES))
     ids = d.schema["id"].dataType.simpleString()
     out = texts.cogroup(right.groupBy("block")).applyInArrow(scores, f"id {ids}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("id", id_col)
-
-
-def blocks_of(d: DataFrame) -> int:
-    return d.schema["block"].metadata["blocks"]

@@ -3,14 +3,18 @@
 A document is the set of its distinct 3-word shingles (fewer words: the whole
 sequence). Each shingle's hash chooses one of BUCKETS buckets; a bucket keeps,
 of its smallest value, the count of leading zeros and the mantissa bits after
-the leading one. Bands of registers make candidate keys. Candidates are linked
-if the collision-corrected estimate is not clearly below the threshold and the
-full sets then confirm it. Equal sets are one class from the start, so copies
-are never paired.
+the leading one. Empty buckets borrow from others in a fixed random order, so
+that short texts have whole bands too. Bands of registers make candidate keys.
 
-Within a key, every class is first held against one leader, which is linear.
-Links join classes to components; then only classes of one key in different
-components are held against each other.
+Candidate pairs are compared by one mantissa bit of each register: unequal
+minima agree in half of the bits, so the similarity is estimated as
+(agreement - 1/2) / (1/2). Pairs whose estimate is clearly below the threshold
+never leave the join; the full sets confirm the rest.
+
+Equal sets are one class from the start, so copies are never paired. Within a
+key, every class is first held against one leader, which is linear. Links join
+classes to components; then only classes of one key in different components are
+held against each other.
 
 Defined results: a document without words is linked with nothing; rows that
 repeat are copies of each other; an empty table gives an empty result; columns
@@ -35,8 +39,9 @@ from .rolling import mix, whole_windows, window_hashes, word_hashes
 
 SHINGLE = 3
 THRESHOLD_PERCENT = 85
-#: Registers, and those of a band: two sets of similarity 0.85 miss all 42 bands once in 4e8 cases.
-BUCKETS, BAND = 256, 6
+#: Registers, and those of a band: sets of similarity 0.85 miss all 64 bands once in 7e8 cases.
+BUCKET_BITS, BAND = 9, 8
+BUCKETS = 1 << BUCKET_BITS
 BANDS = BUCKETS // BAND
 #: Bits of a register's mantissa.
 MANTISSA = 26
@@ -69,14 +74,14 @@ def shingle_sets(batch: pa.RecordBatch, text: int, size: int = SHINGLE) -> tuple
 
 
 def registers(hashes: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """One row of BUCKETS registers per text. The top 8 bits choose the bucket, so the first hash of a bucket is its smallest."""
+    """One row of BUCKETS registers per text. The top bits choose the bucket, so the first hash of a bucket is its smallest."""
     docs = len(begin) - 1
     out = np.full((docs, BUCKETS), EMPTY, np.uint32)
     owner = np.repeat(np.arange(docs), np.diff(begin))
-    bucket = (hashes >> np.uint64(56)).astype(np.int64)
+    bucket = (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
     first = np.ones(len(hashes), bool)
     first[1:] = (bucket[1:] != bucket[:-1]) | (owner[1:] != owner[:-1])
-    value = (hashes[first] << np.uint64(8)) | np.uint64(0x80)  # a one at the end: the count of zeros is below 57
+    value = (hashes[first] << np.uint64(BUCKET_BITS)) | np.uint64(1 << (BUCKET_BITS - 1))  # never zero
     top = np.frexp(value.astype(np.float64))[1]  # bits up to the leading one; rounding may add one
     top -= (value >> np.maximum(top - 1, 0).astype(np.uint64) == 0).astype(top.dtype)
     zeros = (64 - top).astype(np.uint64)
@@ -85,49 +90,48 @@ def registers(hashes: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return out
 
 
-def estimated(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Similarity of register rows and its standard deviation, without the matches that chance brings.
+#: For each register the order in which it looks for another to borrow from.
+LENDERS = np.argsort(mix(np.arange(1, BUCKETS * BUCKETS + 1, dtype=np.uint64)).reshape(BUCKETS, BUCKETS), 1, kind="stable")
+
 
-    Of unequal minima a share of about (1/3) 2^-MANTISSA agrees in zeros and mantissa.
-    """
-    used = ((a != EMPTY) | (b != EMPTY)).sum(1)
-    same = ((a == b) & (a != EMPTY)).sum(1)
-    chance = 2.0**-MANTISSA / 3
-    j = (same / np.maximum(used, 1) - chance) / (1 - chance)
-    t = THRESHOLD_PERCENT / 100
-    return j, np.sqrt(t * (1 - t) / np.maximum(used, 1))
+def densified(regs: np.ndarray) -> np.ndarray:
+    """Empty registers filled; rows without any register stay empty."""
+    out, rows = regs.copy(), np.flatnonzero((regs == EMPTY).any(1) & (regs != EMPTY).any(1))
+    for k in range(BUCKETS):
+        if not len(rows):
+            break
+        part = out[rows]
+        lent = regs[rows][:, LENDERS[:, k]]
+        part = np.where(part == EMPTY, lent, part)
+        out[rows] = part
+        rows = rows[(part == EMPTY).any(1)]
+    return out
 
 
 def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Id, set fingerprint, set size and band keys."""
+    """Id, set fingerprint, set size, band keys, one bit of each register, and how many bits similar sets may differ in."""
     powers = (np.arange(1, BAND + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    t = (1 - THRESHOLD_PERCENT / 100) / 2  # share of bits that differ at the threshold
     for batch in by_bytes(batches, 2 << 20):
         hashes, begin = shingle_sets(batch, 1)
         n = np.diff(begin)
         sums = np.r_[np.uint64(0), np.cumsum(mix(hashes ^ np.uint64(0xA0761D6478BD642F)), dtype=np.uint64)]
         sets = mix(sums[begin[1:]] - sums[begin[:-1]] + n.astype(np.uint64))
-        regs = registers(hashes, begin)
-        bands = regs[:, : BANDS * BAND].reshape(-1, BANDS, BAND)
-        filled = (bands != EMPTY).any(2)
-        keys = mix((mix(bands.astype(np.uint64) + np.uint64(1)) * powers).sum(2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
-        listed = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(filled.sum(1))], pa.int32()), pa.array(keys[filled].view(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets.view(np.int64)), pa.array(n, pa.int64()), listed], ["id", "s", "n", "keys"])
-
-
-def with_registers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in by_bytes(batches, 2 << 20):
-        regs = registers(*shingle_sets(batch, 1))
-        rows = pa.array([r.tobytes() for r in regs], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), rows], ["s", "text", "regs"])
+        sparse = registers(hashes, begin)
+        used = np.maximum((sparse != EMPTY).sum(1), 1)
+        differ = np.ceil(BUCKETS * (t + DEVIATIONS * np.sqrt(t * (1 - t) / used)))
+        regs = densified(sparse)
+        bits = np.packbits((regs & np.uint32(1)).astype(np.uint8), axis=1).view(np.int64)
+        keys = mix((mix(regs.reshape(-1, BANDS, BAND).astype(np.uint64) + np.uint64(1)) * powers).sum(2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
+        listed = lambda x: pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.int64()))
+        columns = [batch.column(0), pa.array(sets.view(np.int64)), pa.array(n, pa.int64()), listed(keys.view(np.int64)), listed(bits), pa.array(differ, pa.int32())]
+        yield pa.RecordBatch.from_arrays(columns, ["id", "s", "n", "keys", "bits", "differ"])
 
 
 def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs whose full sets reach the threshold; the estimate comes first."""
+    """The pairs whose full sets reach the threshold."""
     for batch in by_bytes(batches, 1 << 20, text=2):
-        rows = [np.stack([np.frombuffer(x, np.uint32) for x in batch.column(c).to_pylist()]) for c in ("regs_a", "regs_b")]
-        j, deviation = estimated(*rows)
-        batch = batch.filter(pa.array(j + DEVIATIONS * deviation >= THRESHOLD_PERCENT / 100))
-        sets = [shingle_sets(batch, batch.schema.get_field_index(c)) for c in ("text_a", "text_b")]
+        sets = [shingle_sets(batch, c) for c in (2, 3)]
         linked = []
         for i in range(batch.num_rows):
             a, b = (h[x[i] : x[i + 1]] for h, x in sets)
@@ -136,10 +140,16 @@ def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
 
+def close(left: str, right: str) -> str:
+    """The condition that the estimate of two rows with ``bits`` and ``differ`` is not clearly below the threshold."""
+    unequal = " + ".join(f"bit_count({left}.bits[{i}] ^ {right}.bits[{i}])" for i in range(BUCKETS // 64))
+    return f"{unequal} <= greatest({left}.differ, {right}.differ)"
+
+
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The linked ones of distinct pairs (a, b) of classes."""
-    side = lambda x: texts.select(F.col("s").alias(x), F.col("text").alias(f"text_{x}"), F.col("regs").alias(f"regs_{x}"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b", "regs_a", "regs_b")
+    side = lambda x: texts.select(F.col("s").alias(x), F.col("text").alias(f"text_{x}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
     return both.mapInArrow(confirmed, "a long, b long")
 
 
@@ -149,28 +159,30 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     ship(spark)
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = d.schema["id"].dataType.simpleString()
-    sets = stored(d.mapInArrow(described, f"id {kind}, s long, n long, keys array<long>"), "sets")
+    sets = stored(d.mapInArrow(described, f"id {kind}, s long, n long, keys array<long>, bits array<long>, differ int"), "sets")
 
-    # Candidate keys that two classes or more share; copies fall together before they meet.
-    keys = sets.select("s", F.explode("keys").alias("key")).distinct()
+    # Candidate keys that two classes or more share; of copies only one row takes part.
+    first = sets.filter("n > 0").groupBy("s").agg(F.min("id").alias("id"))
+    keys = sets.join(first, ["s", "id"], "left_semi").select("s", F.explode("keys").alias("key"))
     group = W.partitionBy("key")
     shared = keys.select("key", "s", F.min("s").over(group).alias("leader"), F.max("s").over(group).alias("last"))
-    shared = stored(shared.filter("leader != last").drop("last"), "shared")
-    first = sets.filter("n > 0").groupBy("s").agg(F.min("id").alias("id"))
+    shared = stored(shared.filter("leader != last").drop("last").distinct(), "shared")
     needed = shared.select("s").distinct().join(first, "s")
-    texts = d.join(needed, "id").select("s", "text").dropDuplicates(["s"])
-    texts = stored(texts.mapInArrow(with_registers, "s long, text string, regs binary"), "texts")
+    sketches = stored(sets.select("id", "s", "bits", "differ").join(needed, ["s", "id"], "left_semi").drop("id").dropDuplicates(["s"]), "sketches")
 
     with_leader = shared.filter("s != leader").select(F.col("leader").alias("a"), F.col("s").alias("b")).distinct()
+    with_leader = with_leader.join(sketches.alias("x"), F.col("a") == F.col("x.s")).join(sketches.alias("y"), F.expr(f"b = y.s and {close('x', 'y')}")).select("a", "b")
+    with_leader = stored(with_leader, "pairs")
+    texts = stored(d.join(needed, "id").select("s", "text").dropDuplicates(["s"]), "texts")
     links = stored(confirm(with_leader, texts), "links")
     label = components(links)
 
     # What the leaders left apart: classes of one key in different components, held against each other.
     known = shared.join(label, F.col("s") == F.col("node"), "left").select("key", "s", "leader", F.coalesce("label", "s").alias("c"))
     split = known.withColumn("lo", F.min("c").over(group)).withColumn("hi", F.max("c").over(group)).filter("lo != hi").select("key", "s", "leader", "c")
-    split = stored(split, "split")
-    left, right = split.alias("l"), split.alias("r")
-    apart = left.join(right, F.expr("l.key = r.key and l.s < r.s and l.c != r.c and l.s != l.leader")).select(F.col("l.s").alias("a"), F.col("r.s").alias("b")).distinct()
+    split = stored(split.join(sketches, "s"), "split")
+    both = F.expr(f"l.key = r.key and l.s < r.s and l.c != r.c and l.s != l.leader and {close('l', 'r')}")
+    apart = stored(split.alias("l").join(split.alias("r"), both).select(F.col("l.s").alias("a"), F.col("r.s").alias("b")).distinct(), "pairs")
     late = stored(confirm(apart, texts), "links")
     if not late.isEmpty():
         label = components(links.union(late))

@@ -75,6 +75,8 @@ def measured(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     share = lambda count, of: F.when(of > 0, count / of).otherwise(F.lit(0.0))
     return d.select(
         id_col,
+        # A filter on the verdict must not be evaluated below, where it would repeat all of this for each condition.
+        F.monotonically_increasing_id().alias("at"),
         F.col("n").cast("long").alias("n_words"),
         F.length("chars").cast("long").alias("word_chars"),
         F.regexp_count("chars", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -98,11 +100,11 @@ def measured(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
 def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document with its counts, ``base_failed`` and ``kept``."""
     base_failed = (F.col("n_words") < BASE_MIN_WORDS) | (100 * F.col("n_repeat_words") > BASE_MAX_REPEAT_PERCENT * F.col("n_words"))
-    passed = F.lit(True)
+    passed = F.col("at") >= 0
     for r in rules:
         if r.low is not None:
             passed &= F.col(r.metric) >= r.low
         if r.high is not None:
             passed &= F.col(r.metric) <= r.high
     d = measured(docs, id_col=id_col, text_col=text_col).select("*", base_failed.alias("base_failed"))
-    return d.select("*", (~F.col("base_failed") & passed).alias("kept"))
+    return d.select("*", (~F.col("base_failed") & passed).alias("kept")).drop("at")

@@ -6,8 +6,10 @@ converter synthesises what WARC wants in addition: record ids, ISO timestamps,
 types and SHA-1 digests; of records with equal payloads one is the response and
 the others revisit it.
 
-Files are written by Spark's writer into the shared folder, one per partition,
-and sized by bytes, so a reader holds one bounded file at a time.
+Files are written by Spark's writer into the shared folder, gzip-compressed, one
+per partition: an input split for ARC files, a shuffle partition for WARC files.
+A reader holds one compressed file and unpacks it record by record. Payloads
+travel compressed between the two.
 
 Record ids are UUIDs of version 8: 58 bits of the payload digest's hash and the
 64-bit page number, so a reference can be made and resolved without a join.
@@ -23,6 +25,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 from datetime import UTC, datetime
 
@@ -30,10 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, scratch, ship
+from .common import scratch, ship
 
-#: Mean payload bytes of an archive file.
-FILE_BYTES = 8 << 20
 #: A group of equal payloads is dealt over so many parts where its records meet their response.
 SALTS = 16
 ARC_FIELDS = {
@@ -93,19 +94,51 @@ def arc_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
 
+class Unpacked:
+    """The bytes of a gzip file from front to back, unpacked in stretches."""
+
+    def __init__(self, data: bytes, stretch: int = 1 << 20) -> None:
+        self.data, self.at, self.stretch, self.unzip = data, 0, stretch, zlib.decompressobj(31)
+        self.ready, self.used = bytearray(), 0
+
+    def more(self) -> bool:
+        part = self.unzip.decompress(self.unzip.unconsumed_tail, self.stretch) if self.unzip.unconsumed_tail else b""
+        while not part and self.at < len(self.data):
+            part = self.unzip.decompress(self.data[self.at : self.at + self.stretch], self.stretch)
+            self.at += self.stretch
+        del self.ready[: self.used]
+        self.used = 0
+        self.ready += part
+        return bool(part)
+
+    def until(self, mark: bytes) -> bytes | None:
+        """Up to and with the mark; None at the end of the file."""
+        while (i := self.ready.find(mark, self.used)) < 0:
+            if not self.more():
+                if self.used < len(self.ready):
+                    raise ValueError("an archive ends inside a record's header")
+                return None
+        out = bytes(self.ready[self.used : i + len(mark)])
+        self.used = i + len(mark)
+        return out
+
+    def take(self, n: int) -> bytes:
+        while len(self.ready) - self.used < n:
+            if not self.more():
+                raise ValueError("an archive ends inside a record")
+        out = bytes(self.ready[self.used : self.used + n])
+        self.used += n
+        return out
+
+
 def parsed_arc(data: bytes) -> Iterator[tuple[str, str, str, bytes]]:
     """url, 14-digit date, content type and body of each record, by the declared fields and lengths."""
-    at, fields = 0, None
-    while at < len(data):
-        if data[at : at + 1] == b"\n":
-            at += 1
+    file, fields = Unpacked(data), None
+    while (line := file.until(b"\n")) is not None:
+        if line == b"\n":
             continue
-        end = data.index(b"\n", at)
-        head = data[at:end].decode().split(" ")
-        body = data[end + 1 : end + 1 + int(head[-1])]
-        if len(body) != int(head[-1]):
-            raise ValueError(f"an ARC record at byte {at} is cut short")
-        at = end + 1 + len(body)
+        head = line[:-1].decode().split(" ")
+        body = file.take(int(head[-1]))
         if fields is None:
             if not head[0].startswith("filedesc://"):
                 raise ValueError("an ARC file starts with its version block")
@@ -130,7 +163,7 @@ def arc_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = []
             for url, date, _, body in parsed_arc(data.as_py()):
                 names, http, payload = parsed_http(body)
-                rows.append({"page": int(names["X-Page-Id"]), "url": url, "date": date, "http": http, "payload": payload, "digest": sha1_base32(payload)})
+                rows.append({"page": int(names["X-Page-Id"]), "url": url, "date": date, "http": http, "payload": zlib.compress(payload), "digest": sha1_base32(payload)})
                 if len(rows) == 500:
                     yield pa.RecordBatch.from_pylist(rows, schema)
                     rows = []
@@ -154,22 +187,19 @@ def warc_record(page: int, url: str, date: str, http: bytes, payload: bytes, dig
 def warc_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = zip(*(b.column(c).to_pylist() for c in ("page", "url", "date", "http", "payload", "digest", "response")), strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array([warc_record(*r) for r in rows], pa.binary())], ["value"])
+        yield pa.RecordBatch.from_arrays([pa.array([warc_record(p, u, d, h, zlib.decompress(z), g, r) for p, u, d, h, z, g, r in rows], pa.binary())], ["value"])
 
 
 def parsed_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Header fields and block of each record, by the declared length."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        first, *lines = data[at:end].decode().split("\r\n")
+    file = Unpacked(data)
+    while (header := file.until(b"\r\n\r\n")) is not None:
+        first, *lines = header[:-4].decode().split("\r\n")
         if not first.startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
+            raise ValueError("a WARC record starts with its version")
         head = dict(x.split(": ", 1) for x in lines)
-        length = int(head["Content-Length"])
-        block = data[end + 4 : end + 4 + length]
-        at = end + 4 + length + 4
-        if data[at - 4 : at] != b"\r\n\r\n":
+        block = file.take(int(head["Content-Length"]))
+        if file.take(4) != b"\r\n\r\n":
             raise ValueError("a WARC record is longer or shorter than declared")
         yield head, block
 
@@ -193,16 +223,11 @@ def warc_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pylist(rows, schema)
 
 
-def _files(df: DataFrame, size: str) -> int:
-    return max(partitions(df.sparkSession), -(-(df.agg(F.sum(F.octet_length(size))).first()[0] or 0) // FILE_BYTES))
-
-
 def write_arc(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
     """ARC files of both versions."""
     ship(pages.sparkSession)
     d = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).filter("page is not null")
-    d = d.repartition(_files(d, "html"), F.xxhash64("page"))
-    d.mapInArrow(arc_lines, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
+    d.mapInArrow(arc_lines, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\n").option("compression", "gzip").text(path)
 
 
 def _bytes_of(spark, path: str, glob: str) -> DataFrame:
@@ -223,8 +248,7 @@ def converted(arc: DataFrame) -> DataFrame:
 
 def write_warc(rows: DataFrame, path: str) -> None:
     d = rows.select("page", "url", "date", "http", "payload", "digest", "response")
-    d = d.repartition(_files(rows, "payload"), F.xxhash64("page"))
-    d.mapInArrow(warc_lines, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\r\n").text(path)
+    d.mapInArrow(warc_lines, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
 
 
 def read_warc(spark, path: str) -> DataFrame:
