@@ -9,7 +9,11 @@ that short texts have whole bands too. Bands of registers make candidate keys.
 Candidate pairs are compared by one mantissa bit of each register: unequal
 minima agree in half of the bits, so the similarity is estimated as
 (agreement - 1/2) / (1/2). Pairs whose estimate is clearly below the threshold
-never leave the join; the full sets confirm the rest.
+never leave the join. Short texts fill few registers, so their estimate is wide;
+for them a second sketch, the parity of the shingles of each of PARITIES cells,
+bounds it: two sets differ in at least as many shingles as their parities differ
+in cells, so a pair beyond the bound is surely no link. The full sets confirm the
+rest.
 
 Equal sets are one class from the start, so copies are never paired. Within a
 key, every class is first held against one leader, which is linear. Links join
@@ -47,6 +51,8 @@ BANDS = BUCKETS // BAND
 MANTISSA = 26
 #: An estimate this many standard deviations below the threshold is not confirmed further.
 DEVIATIONS = 6.0
+#: Cells of the parity sketch.
+PARITIES = 512
 #: A class of copies is dealt over so many parts where its rows meet their component.
 SALTS = 16
 EMPTY = np.uint32(0xFFFFFFFF)
@@ -90,6 +96,14 @@ def registers(hashes: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return out
 
 
+def parities(hashes: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """PARITIES bits per text, packed in longs: whether an odd number of its hashes falls in each cell."""
+    docs = len(begin) - 1
+    cell = np.repeat(np.arange(docs), np.diff(begin)) * PARITIES + (hashes & np.uint64(PARITIES - 1)).astype(np.int64)
+    odd = (np.bincount(cell, minlength=docs * PARITIES) & 1).astype(np.uint8).reshape(docs, PARITIES)
+    return np.packbits(odd, axis=1).view(np.int64)
+
+
 #: For each register the order in which it looks for another to borrow from.
 LENDERS = np.argsort(mix(np.arange(1, BUCKETS * BUCKETS + 1, dtype=np.uint64)).reshape(BUCKETS, BUCKETS), 1, kind="stable")
 
@@ -109,7 +123,7 @@ def densified(regs: np.ndarray) -> np.ndarray:
 
 
 def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Id, set fingerprint, set size, band keys, one bit of each register, and how many bits similar sets may differ in."""
+    """Id, set fingerprint, set size, band keys, one bit of each register, how many bits similar sets may differ in, and parities."""
     powers = (np.arange(1, BAND + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
     t = (1 - THRESHOLD_PERCENT / 100) / 2  # share of bits that differ at the threshold
     for batch in by_bytes(batches, 2 << 20):
@@ -124,8 +138,8 @@ def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.packbits((regs & np.uint32(1)).astype(np.uint8), axis=1).view(np.int64)
         keys = mix((mix(regs.reshape(-1, BANDS, BAND).astype(np.uint64) + np.uint64(1)) * powers).sum(2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
         listed = lambda x: pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.int64()))
-        columns = [batch.column(0), pa.array(sets.view(np.int64)), pa.array(n, pa.int64()), listed(keys.view(np.int64)), listed(bits), pa.array(differ, pa.int32())]
-        yield pa.RecordBatch.from_arrays(columns, ["id", "s", "n", "keys", "bits", "differ"])
+        columns = [batch.column(0), pa.array(sets.view(np.int64)), pa.array(n, pa.int64()), listed(keys.view(np.int64)), listed(bits), pa.array(differ, pa.int32()), listed(parities(hashes, begin))]
+        yield pa.RecordBatch.from_arrays(columns, ["id", "s", "n", "keys", "bits", "differ", "odd"])
 
 
 def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,9 +155,11 @@ def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def close(left: str, right: str) -> str:
-    """The condition that the estimate of two rows with ``bits`` and ``differ`` is not clearly below the threshold."""
-    unequal = " + ".join(f"bit_count({left}.bits[{i}] ^ {right}.bits[{i}])" for i in range(BUCKETS // 64))
-    return f"{unequal} <= greatest({left}.differ, {right}.differ)"
+    """The condition that two sketches do not rule a link out: neither the bound by parities nor the estimate by ``bits`` and ``differ``."""
+    unequal = lambda name, longs: " + ".join(f"bit_count({left}.{name}[{i}] ^ {right}.{name}[{i}])" for i in range(longs))
+    # Linked sets of together S shingles differ in at most S (100 - t) / (100 + t) of them.
+    bound = f"{100 + THRESHOLD_PERCENT} * ({unequal('odd', PARITIES // 64)}) <= {100 - THRESHOLD_PERCENT} * ({left}.n + {right}.n)"
+    return f"{bound} and {unequal('bits', BUCKETS // 64)} <= greatest({left}.differ, {right}.differ)"
 
 
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -159,7 +175,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     ship(spark)
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = d.schema["id"].dataType.simpleString()
-    sets = stored(d.mapInArrow(described, f"id {kind}, s long, n long, keys array<long>, bits array<long>, differ int"), "sets")
+    sets = stored(d.mapInArrow(described, f"id {kind}, s long, n long, keys array<long>, bits array<long>, differ int, odd array<long>"), "sets")
 
     # Candidate keys that two classes or more share; of copies only one row takes part.
     first = sets.filter("n > 0").groupBy("s").agg(F.min("id").alias("id"))
@@ -168,7 +184,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     shared = keys.select("key", "s", F.min("s").over(group).alias("leader"), F.max("s").over(group).alias("last"))
     shared = stored(shared.filter("leader != last").drop("last").distinct(), "shared")
     needed = shared.select("s").distinct().join(first, "s")
-    sketches = stored(sets.select("id", "s", "bits", "differ").join(needed, ["s", "id"], "left_semi").drop("id").dropDuplicates(["s"]), "sketches")
+    sketches = stored(sets.select("id", "s", "n", "bits", "differ", "odd").join(needed, ["s", "id"], "left_semi").drop("id").dropDuplicates(["s"]), "sketches")
 
     with_leader = shared.filter("s != leader").select(F.col("leader").alias("a"), F.col("s").alias("b")).distinct()
     with_leader = with_leader.join(sketches.alias("x"), F.col("a") == F.col("x.s")).join(sketches.alias("y"), F.expr(f"b = y.s and {close('x', 'y')}")).select("a", "b")

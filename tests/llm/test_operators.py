@@ -220,6 +220,18 @@ def test_near_dedup_families(spark):
     assert got == want and len({c for _, c in want.values()}) < len(rows) - 20
 
 
+def test_parities_bound_the_difference():
+    r = np.random.default_rng(4)
+    sets = [np.unique(r.integers(0, 1 << 63, n).astype(np.uint64)) for n in (0, 1, 3, 150, 5000)]
+    sets += [np.sort(np.r_[sets[3][k:], r.integers(0, 1 << 63, k).astype(np.uint64)]) for k in (1, 12, 60)]
+    begin = np.cumsum([0, *map(len, sets)])
+    bits = np.unpackbits(near_dedup.parities(np.concatenate(sets), begin).view(np.uint8), axis=1)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            assert (bits[i] ^ bits[j]).sum() <= len(np.setxor1d(a, b)) and (i != j or not (bits[i] ^ bits[j]).any())
+    assert (bits[3] ^ bits[7]).sum() > 80  # few hashes meet in a cell, so the bound is a sharp one
+
+
 def test_components(spark):
     e = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7)]
     got = {r.node: r.label for r in components(spark.createDataFrame(e, "a long, b long")).collect()}
