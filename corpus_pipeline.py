@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir); its result is written as Parquet and
 read again as the next one's ``docs``. All but the last return the columns of
-``docs``. Rows that share an id stay or go together; rows without an id are
-linked with nothing and stay.
+``docs``. Rows are told apart by keys of their own, so that rows that repeat,
+share an id or have none are judged one by one, by their texts alone.
 """
 
 from __future__ import annotations
@@ -23,10 +23,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.judged(rows, id_col="row").filter("kept").select("row.*")
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """The rows as ``row`` with a number of their own, ``key``, written once, so that it is the same at each reading."""
+    return stored(docs.select(F.monotonically_increasing_id().alias("key"), F.struct("*").alias("row")), "keyed")
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that with the smallest id."""
-    gone = near_dedup.near_duplicates(docs).filter("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One row of each group of near-duplicates, that with the smallest id; rows without an id come last."""
+    d = keyed(docs)
+    order = F.struct(F.col("row.doc_id").isNull().alias("no_id"), F.col("row.doc_id").alias("doc_id"), "key")
+    gone = near_dedup.near_duplicates(d.select(order.alias("doc_id"), "row.text")).filter("not kept").select("doc_id.key")
+    return d.join(gone, "key", "left_anti").select("row.*")
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +48,9 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item."""
-    gone = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    d = keyed(docs)
+    gone = decontaminate.contaminated(d.select("key", "row.text"), table(spark, sf_dir, "benchmark"), id_col="key").select("key").distinct()
+    return d.join(gone, "key", "left_anti").select("row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

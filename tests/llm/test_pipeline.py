@@ -2,6 +2,7 @@ import collections
 
 import corpus_pipeline
 from eventloom.llm import quality_rules
+from eventloom.llm.common import stored
 
 from .test_operators import LOWER, WORD, brute_components, texts
 
@@ -37,3 +38,19 @@ def test_stages_return_the_columns(spark):
     docs = spark.createDataFrame([(1, None, "x", 1)], "doc_id long, text string, kept string, n_chars int")
     for name, stage in corpus_pipeline.STAGES[:3]:
         assert stage(spark, docs, "").columns == docs.columns, name
+
+
+def test_rows_are_judged_one_by_one(spark, tmp_path):
+    text = lambda k, n=90: " ".join(f"{k}w{i}" for i in range(n))
+    item = " ".join(f"item{k}" for k in range(20))
+    rows = [(1, text("a"))] * 3  # rows that repeat: one stays
+    rows += [(None, text("b")), (7, text("b")), (6, text("b")), (None, text("c")), (None, text("c"))]  # copies without an id
+    rows += [(2, text("a")), (2, text("d"))]  # a copy, and a text of its own under the same id
+    rows += [(3, text("e") + " " + item), (3, text("f")), (None, text("g") + " " + item), (None, text("h")), (None, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = docs
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        left = stored(stage(spark, left, str(tmp_path)), name)
+    want = [(1, text("a")), (6, text("b")), (None, text("c")), (2, text("d")), (3, text("f")), (None, text("h")), (None, None), (None, None)]
+    assert left.columns == docs.columns and sorted(map(repr, map(tuple, left.collect()))) == sorted(map(repr, want))
