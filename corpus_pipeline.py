@@ -17,6 +17,10 @@ from eventloom.llm import bpe, decontaminate, near_dedup, quality_rules, substri
 from eventloom.llm.common import stored, table, vocabulary
 
 
+#: Words of a shingle and similarity of near copies in the pipeline; those of op6 bind only that query.
+NEAR_SHINGLE, NEAR_PERCENT = 5, 80
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep."""
     rows = docs.select(F.struct("*").alias("row"), "text")
@@ -32,7 +36,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates, that with the smallest id; rows without an id come last."""
     d = keyed(docs)
     order = F.struct(F.col("row.doc_id").isNull().alias("no_id"), F.col("row.doc_id").alias("doc_id"), "key")
-    gone = near_dedup.near_duplicates(d.select(order.alias("doc_id"), "row.text")).filter("not kept").select("doc_id.key")
+    gone = near_dedup.near_duplicates(d.select(order.alias("doc_id"), "row.text"), size=NEAR_SHINGLE, percent=NEAR_PERCENT).filter("not kept").select("doc_id.key")
     return d.join(gone, "key", "left_anti").select("row.*")
 
 

@@ -1,7 +1,7 @@
 """Near-duplicate documents by HyperMinHash.
 
-A document is the set of its distinct 3-word shingles (fewer words: the whole
-sequence). Each shingle's hash chooses one of BUCKETS buckets; a bucket keeps,
+A document is the set of its distinct shingles, SHINGLE words each unless the
+caller says otherwise (fewer words: the whole sequence). Each shingle's hash chooses one of BUCKETS buckets; a bucket keeps,
 of its smallest value, the count of leading zeros and the mantissa bits after
 the leading one. Empty buckets borrow from others in a fixed random order, so
 that short texts have whole bands too. Bands of registers make candidate keys.
@@ -43,10 +43,11 @@ from .rolling import mix, whole_windows, window_hashes, word_hashes
 
 SHINGLE = 3
 THRESHOLD_PERCENT = 85
-#: Registers, and those of a band: sets of similarity 0.85 miss all 64 bands once in 7e8 cases.
-BUCKET_BITS, BAND = 9, 8
+#: Registers.
+BUCKET_BITS = 9
 BUCKETS = 1 << BUCKET_BITS
-BANDS = BUCKETS // BAND
+#: Sets at the threshold miss all bands in a smaller share of cases: 8 registers in each of 64 bands for 0.85, 6 in each of 85 for 0.8.
+MISSED = 2e-9
 #: Bits of a register's mantissa.
 MANTISSA = 26
 #: An estimate this many standard deviations below the threshold is not confirmed further.
@@ -122,12 +123,20 @@ def densified(regs: np.ndarray) -> np.ndarray:
     return out
 
 
-def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def banded(percent: int) -> int:
+    """Registers of a band: as many as leave less than MISSED of the pairs at the threshold without a common band."""
+    missed = lambda band: (1 - (percent / 100) ** band) ** (BUCKETS // band)
+    return max((band for band in range(1, BUCKETS + 1) if missed(band) < MISSED), default=1)
+
+
+def described(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Id, set fingerprint, set size, band keys, one bit of each register, how many bits similar sets may differ in, and parities."""
-    powers = (np.arange(1, BAND + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-    t = (1 - THRESHOLD_PERCENT / 100) / 2  # share of bits that differ at the threshold
+    band = banded(percent)
+    bands = BUCKETS // band
+    powers = (np.arange(1, band + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    t = (1 - percent / 100) / 2  # share of bits that differ at the threshold
     for batch in by_bytes(batches, 2 << 20):
-        hashes, begin = shingle_sets(batch, 1)
+        hashes, begin = shingle_sets(batch, 1, size)
         n = np.diff(begin)
         sums = np.r_[np.uint64(0), np.cumsum(mix(hashes ^ np.uint64(0xA0761D6478BD642F)), dtype=np.uint64)]
         sets = mix(sums[begin[1:]] - sums[begin[:-1]] + n.astype(np.uint64))
@@ -136,46 +145,46 @@ def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         differ = np.ceil(BUCKETS * (t + DEVIATIONS * np.sqrt(t * (1 - t) / used)))
         regs = densified(sparse)
         bits = np.packbits((regs & np.uint32(1)).astype(np.uint8), axis=1).view(np.int64)
-        keys = mix((mix(regs.reshape(-1, BANDS, BAND).astype(np.uint64) + np.uint64(1)) * powers).sum(2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
+        keys = mix((mix(regs[:, : bands * band].reshape(-1, bands, band).astype(np.uint64) + np.uint64(1)) * powers).sum(2, dtype=np.uint64) + np.arange(bands, dtype=np.uint64))
         listed = lambda x: pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.int64()))
         columns = [batch.column(0), pa.array(sets.view(np.int64)), pa.array(n, pa.int64()), listed(keys.view(np.int64)), listed(bits), pa.array(differ, pa.int32()), listed(parities(hashes, begin))]
         yield pa.RecordBatch.from_arrays(columns, ["id", "s", "n", "keys", "bits", "differ", "odd"])
 
 
-def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def confirmed(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
     """The pairs whose full sets reach the threshold."""
     for batch in by_bytes(batches, 1 << 20, text=2):
-        sets = [shingle_sets(batch, c) for c in (2, 3)]
+        sets = [shingle_sets(batch, c, size) for c in (2, 3)]
         linked = []
         for i in range(batch.num_rows):
             a, b = (h[x[i] : x[i + 1]] for h, x in sets)
             both = len(np.intersect1d(a, b, assume_unique=True))
-            linked.append(100 * both >= THRESHOLD_PERCENT * (len(a) + len(b) - both))
+            linked.append(100 * both >= percent * (len(a) + len(b) - both))
         yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
 
-def close(left: str, right: str) -> str:
+def close(left: str, right: str, percent: int) -> str:
     """The condition that two sketches do not rule a link out: neither the bound by parities nor the estimate by ``bits`` and ``differ``."""
     unequal = lambda name, longs: " + ".join(f"bit_count({left}.{name}[{i}] ^ {right}.{name}[{i}])" for i in range(longs))
     # Linked sets of together S shingles differ in at most S (100 - t) / (100 + t) of them.
-    bound = f"{100 + THRESHOLD_PERCENT} * ({unequal('odd', PARITIES // 64)}) <= {100 - THRESHOLD_PERCENT} * ({left}.n + {right}.n)"
+    bound = f"{100 + percent} * ({unequal('odd', PARITIES // 64)}) <= {100 - percent} * ({left}.n + {right}.n)"
     return f"{bound} and {unequal('bits', BUCKETS // 64)} <= greatest({left}.differ, {right}.differ)"
 
 
-def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The linked ones of distinct pairs (a, b) of classes."""
     side = lambda x: texts.select(F.col("s").alias(x), F.col("text").alias(f"text_{x}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(confirmed, "a long, b long")
+    return both.mapInArrow(lambda x: confirmed(x, size, percent), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Id, ``n_shingles``, ``component_id`` (smallest id reachable) and ``kept`` of each row."""
+def near_duplicates(docs: DataFrame, *, size: int = SHINGLE, percent: int = THRESHOLD_PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Id, ``n_shingles``, ``component_id`` (smallest id reachable) and ``kept`` of each row; sets of ``size``-word shingles are linked from a similarity of ``percent`` on."""
     spark = docs.sparkSession
     ship(spark)
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = d.schema["id"].dataType.simpleString()
-    sets = stored(d.mapInArrow(described, f"id {kind}, s long, n long, keys array<long>, bits array<long>, differ int, odd array<long>"), "sets")
+    sets = stored(d.mapInArrow(lambda x: described(x, size, percent), f"id {kind}, s long, n long, keys array<long>, bits array<long>, differ int, odd array<long>"), "sets")
 
     # Candidate keys that two classes or more share; of copies only one row takes part.
     first = sets.filter("n > 0").groupBy("s").agg(F.min("id").alias("id"))
@@ -187,19 +196,19 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     sketches = stored(sets.select("id", "s", "n", "bits", "differ", "odd").join(needed, ["s", "id"], "left_semi").drop("id").dropDuplicates(["s"]), "sketches")
 
     with_leader = shared.filter("s != leader").select(F.col("leader").alias("a"), F.col("s").alias("b")).distinct()
-    with_leader = with_leader.join(sketches.alias("x"), F.col("a") == F.col("x.s")).join(sketches.alias("y"), F.expr(f"b = y.s and {close('x', 'y')}")).select("a", "b")
+    with_leader = with_leader.join(sketches.alias("x"), F.col("a") == F.col("x.s")).join(sketches.alias("y"), F.expr(f"b = y.s and {close('x', 'y', percent)}")).select("a", "b")
     with_leader = stored(with_leader, "pairs")
     texts = stored(d.join(needed, "id").select("s", "text").dropDuplicates(["s"]), "texts")
-    links = stored(confirm(with_leader, texts), "links")
+    links = stored(confirm(with_leader, texts, size, percent), "links")
     label = components(links)
 
     # What the leaders left apart: classes of one key in different components, held against each other.
     known = shared.join(label, F.col("s") == F.col("node"), "left").select("key", "s", "leader", F.coalesce("label", "s").alias("c"))
     split = known.withColumn("lo", F.min("c").over(group)).withColumn("hi", F.max("c").over(group)).filter("lo != hi").select("key", "s", "leader", "c")
     split = stored(split.join(sketches, "s"), "split")
-    both = F.expr(f"l.key = r.key and l.s < r.s and l.c != r.c and l.s != l.leader and {close('l', 'r')}")
+    both = F.expr(f"l.key = r.key and l.s < r.s and l.c != r.c and l.s != l.leader and {close('l', 'r', percent)}")
     apart = stored(split.alias("l").join(split.alias("r"), both).select(F.col("l.s").alias("a"), F.col("r.s").alias("b")).distinct(), "pairs")
-    late = stored(confirm(apart, texts), "links")
+    late = stored(confirm(apart, texts, size, percent), "links")
     if not late.isEmpty():
         label = components(links.union(late))
 

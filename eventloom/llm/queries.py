@@ -35,7 +35,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

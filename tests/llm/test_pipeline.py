@@ -1,7 +1,7 @@
 import collections
 
 import corpus_pipeline
-from eventloom.llm import quality_rules
+from eventloom.llm import near_dedup, quality_rules
 from eventloom.llm.common import stored
 
 from .test_operators import LOWER, WORD, brute_components, texts
@@ -54,3 +54,12 @@ def test_rows_are_judged_one_by_one(spark, tmp_path):
         left = stored(stage(spark, left, str(tmp_path)), name)
     want = [(1, text("a")), (6, text("b")), (None, text("c")), (2, text("d")), (3, text("f")), (None, text("h")), (None, None), (None, None)]
     assert left.columns == docs.columns and sorted(map(repr, map(tuple, left.collect()))) == sorted(map(repr, want))
+
+
+def test_an_appended_paragraph_makes_a_near_copy(spark):
+    words = [f"w{i}" for i in range(160)]
+    texts = [words[:100], words[:120], [f"v{x}" for x in words[:100]], [f"v{x}" for x in words[:130]]]  # 96 / 116 and 96 / 126 of five-word shingles
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_copies(spark, docs, "").collect()) == [0, 2, 3]
+    assert sorted(r.doc_id for r in near_dedup.near_duplicates(docs, size=3, percent=85).filter("kept").collect()) == [0, 1, 2, 3]
+    assert near_dedup.banded(85) == 8 and near_dedup.banded(80) == 6
