@@ -106,6 +106,19 @@ _texts("fmt_bytes", "CASE WHEN l_partkey = 1 THEN '1 byte' WHEN l_partkey < 1024
 _texts("fmt_duration", "CASE WHEN l_partkey % 86400 < 3600 THEN NULL ELSE ((l_partkey % 86400 + 30) // 3600) || ' h ' || ((l_partkey % 86400 + 30) % 3600 // 60) || ' m' END AS t", lambda: [F.when(F.expr("l_partkey % 86400 >= 3600"), display.timespan(_long("(l_partkey % 86400) * 1000000000"))).alias("t")])
 
 
+# fmt_duration above shows hours only; this one spreads durations over all forms.
+_NANOS = "l_partkey * CASE l_linenumber WHEN 1 THEN 1 WHEN 2 THEN 1234 WHEN 3 THEN 4567890 WHEN 4 THEN 123456789 WHEN 5 THEN 7300000000 WHEN 6 THEN 500000000000 ELSE 50000000000000 END"
+_ROUNDED = """CASE WHEN n < 1000 THEN n WHEN n < 1000000000 THEN (n + (10 ** (length(n::VARCHAR) - 3))::BIGINT // 2) // (10 ** (length(n::VARCHAR) - 3))::BIGINT * (10 ** (length(n::VARCHAR) - 3))::BIGINT
+WHEN n < 10000000000 THEN n // 1000000000 * 1000000000 + (n // 1000000 % 1000 + 5) // 10 * 10000000 WHEN n < 60000000000 THEN n // 1000000000 * 1000000000 + (n // 1000000 % 1000 + 50) // 100 * 100000000
+WHEN n < 3600000000000 THEN (n + 500000000) // 1000000000 * 1000000000 WHEN n < 86400000000000 THEN (n + 30000000000) // 60000000000 * 60000000000 ELSE (n + 1800000000000) // 3600000000000 * 3600000000000 END"""
+_FORMS = """CASE WHEN r = 0 THEN '0 s' WHEN r < 1000 THEN printf('%.6f ms', r / 1000000) WHEN r < 10000 THEN printf('%.5f ms', r / 1000000) WHEN r < 100000 THEN printf('%.4f ms', r / 1000000) WHEN r < 1000000 THEN printf('%.3f ms', r / 1000000)
+WHEN r < 10000000 THEN printf('%.2f ms', r / 1000000) WHEN r < 100000000 THEN printf('%.1f ms', r / 1000000) WHEN r < 1000000000 THEN printf('%.0f ms', r / 1000000)
+WHEN r < 10000000000 THEN printf('%.2f s', r / 1000000000) WHEN r < 60000000000 THEN printf('%.1f s', r / 1000000000) WHEN r < 3600000000000 THEN r // 60000000000 || ' m ' || r // 1000000000 % 60 || ' s'
+WHEN r < 86400000000000 THEN r // 3600000000000 || ' h ' || r // 60000000000 % 60 || ' m' ELSE r // 86400000000000 || ' d ' || r // 3600000000000 % 24 || ' h' END"""
+QUERIES["fmt_duration_forms"] = lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", display.timespan(_long(_NANOS)).alias("t"))
+SQL["fmt_duration_forms"] = f"SELECT l_orderkey, l_linenumber, {_FORMS} AS t FROM (SELECT *, {_ROUNDED} AS r FROM (SELECT l_orderkey, l_linenumber, {_NANOS} AS n FROM lineitem))"
+
+
 @_fn("nested_path", "SELECT user_id AS u, max(value) AS hi FROM events GROUP BY 1")
 def nested_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .catalog import Catalog, EventType
