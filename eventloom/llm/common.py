@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -29,14 +30,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it.
+    """The folder that driver and executors share, as the session names it in ``spark.checkpoint.dir``.
 
-    Only where ``spark.checkpoint.dir`` is unset (tests on one machine) a folder
-    of this machine is taken and set as the checkpoint folder.
+    Where it is unset and the session runs on one machine (local mode, as in
+    tests), a folder of this machine is set; elsewhere there is no such folder to choose.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base is None:
-        base = os.path.join(tempfile.gettempdir(), "checkpoints")
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(base)
     return base
 
@@ -48,14 +51,45 @@ def scratch(spark: SparkSession, what: str) -> str:
 
 def stored(df: DataFrame, what: str) -> DataFrame:
     """The rows written to the shared folder as Parquet and read again: lineage ends here."""
-    path = scratch(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return Shelf(df.sparkSession, what).stored(df, what)
 
 
-def only(df: DataFrame, *names: str) -> DataFrame:
-    """The named columns; extra columns of the caller are left behind, so none can clash."""
-    return df.select(*names)
+class Shelf:
+    """Intermediate tables of one run below the shared folder; ``clear`` deletes them."""
+
+    def __init__(self, spark: SparkSession, what: str) -> None:
+        self.spark, self.path, self.count, self.tables = spark, scratch(spark, what), 0, []
+
+    def place(self, what: str) -> str:
+        self.count += 1
+        return f"{self.path}/{self.count}-{what}"
+
+    def stored(self, df: DataFrame, what: str) -> DataFrame:
+        path = self.place(what)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def bucketed(self, df: DataFrame, what: str, by: str, buckets: int) -> DataFrame:
+        """Stored in buckets by a column, so that later joins and groups by it need no shuffle of these rows."""
+        name = f"loom_{uuid.uuid4().hex}"
+        df.write.format("parquet").option("compression", "none").option("path", self.place(what)).bucketBy(buckets, by).saveAsTable(name)
+        self.tables.append(name)
+        return self.spark.table(name)
+
+    def drop(self, df: DataFrame) -> None:
+        """Deletes one stored table that nothing reads any more."""
+        self._delete(*{f.rsplit("/", 1)[0] for f in df.inputFiles()})
+
+    def clear(self) -> None:
+        for name in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self._delete(self.path)
+
+    def _delete(self, *paths: str) -> None:
+        jvm = self.spark._jvm
+        for p in paths:
+            path = jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def vocabulary(name: str) -> str:

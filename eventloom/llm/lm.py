@@ -1,23 +1,31 @@
-"""Language-model scores from a weighted backoff automaton of words and word pairs.
-
-Model: P(w|h) = (1 - l) c(h,w)/c(h) + l P(w), with one weight l for all
-histories whose count has the same power of two: the share D T/C of their C
-training pairs that T distinct pairs give away at discount D. P(w) is
-(c(w) - D)/N, and all unknown words together have D V/N. A text starts from a
-start state and ends with an end token.
-
-Automaton: a state per history; an arc per seen pair carries log P(w|h); a
-failure arc with weight log l leads to the root, whose arcs are the words. One
-pass over a block's tokens carries the state from word to word.
-
-The model is never in one place. Blocks of documents send each word and each
-pair once, get back the totals of those that other blocks have too, and build
-the part of the automaton that their own texts can reach. A pair with a word
-that only one block has stays there.
-
-Defined results: a null, empty or blank text is its end token; rows that repeat
-are further texts; without training texts all scores are 0; an empty table gives
-an empty result; other columns are not read. Words are 64-bit hashes, pairs 48-bit ones.
+"""Language-model scores from a weighted backoff automaton of words, word pairs and word triples.
+
+Model: P(w|h) = (1 - l) c(h,w)/c(h) + l P(w|h'), where h' is h without its first
+word. One weight l serves all histories of one length whose count has the same
+power of two: the share D T/C of their C training n-grams that T distinct ones
+give away at discount D. P(w) is (c(w) - D)/N, and all unknown words together
+have D V/N. A text starts after a start mark and ends with an end token.
+
+Automaton: a state for each history of one or two words seen in training, and a
+root. An arc for each seen n-gram carries log P and leads to the state of the
+longest history that it leaves; a failure arc carries log l and leads to the
+state of the shorter history. Texts are read from left to right: a word follows
+the failure arcs from the state that the words before it left, until there is an
+arc for it. The token stream of a block is read in many lanes at once. A lane
+that begins inside a text first reads the two words before it, which is all that
+a state knows.
+
+The model is never in one place. Blocks of documents send each word once, then
+each pair whose words other blocks have too, then each triple whose pairs other
+blocks have too, and get the totals back; what can't occur elsewhere stays. Each
+block then builds the part of the automaton that its own texts can reach. Only
+the training size and two numbers for each power of two come to the driver.
+
+Defined results: a null, empty or blank text is its end token; a very long text
+is a block by itself; rows that repeat are further texts, whatever their ids; a
+row whose training condition is null trains, and so is not held out; without
+training texts all scores are 0; an empty table gives an empty result; other
+columns are not read. Words, pairs and triples are 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -25,173 +33,236 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .arrowtext import by_bytes
-from .blocks import blocked, packed, unpacked
-from .common import ship
-from .rolling import mix, window_hashes, word_hashes
+from .blocks import ANSWER, NOBODY, SENT, Blocks, answered, answers, arrived, grouped, packed, packed_table, sent, sent_rows, steps, table_of, unpacked
+from .common import Shelf, ship, stored
+from .rolling import joined, word_hashes
 
 DISCOUNT = 0.75
-#: Mean text bytes of a block: larger blocks send fewer rows, smaller ones need less memory.
-BLOCK_BYTES = 20 << 20
-#: Bits of a pair's hash, and of a count in a packed row (block, bucket, flag, count).
-PAIR_BITS, COUNT_BITS = 48, 28
-COUNT, TYPES, SUM = 0, 1, 2
 START, END = np.uint64(0x1234567887654321), np.uint64(0x0FEDCBA99ABCDEF0)
-WORDS, PAIRS, WEIGHTS, SIZES = 0, 1, 2, 3
+WORDS, PAIRS, TRIPLES = 1, 2, 3
+#: Powers of two that a count may have.
+POWERS = 64
+#: Lanes in which a block is read.
+LANES = 8192
+
+
+def packed_tokens(held: list[pa.RecordBatch]) -> dict[str, bytes]:
+    """A block as row data, its sorted word hashes, and for each token the number of its word."""
+    parts, counts, rest = [], [], []
+    for b in held:
+        words, firsts = word_hashes(b.column("text"), lower=True)
+        n = np.diff(firsts)
+        out = np.full(len(words) + 2 * len(n), START, np.uint64)
+        begin = firsts[:-1] + 2 * np.arange(len(n))
+        out[np.arange(len(words)) + np.repeat(2 * np.arange(len(n)) + 1, n)] = words
+        out[begin + n + 1] = END
+        parts.append(out)
+        counts.append(n)
+        rest.append(b.drop_columns(["text"]))
+    known, _, word = grouped(np.concatenate(parts))
+    return {"docs": packed_table(rest), "known": packed(steps(known)), "words": packed(word.astype(np.uint32)), "sizes": packed(np.concatenate(counts))}
 
 
 class Tokens:
     """All tokens of a block: per text a start, its words and an end."""
 
-    def __init__(self, docs: pa.Table) -> None:
-        parts, counts = [], []
-        for b in by_bytes(docs.combine_chunks().to_batches(), 2 << 20, docs.column_names.index("text")):
-            words, firsts = word_hashes(b.column("text"), lower=True)
-            n = np.diff(firsts)
-            out = np.full(len(words) + 2 * len(n), START, np.uint64)
-            begin = firsts[:-1] + 2 * np.arange(len(n))
-            word_at = np.arange(len(words)) + np.repeat(2 * np.arange(len(n)) + 1, n)
-            out[word_at] = words
-            out[begin + n + 1] = END
-            parts.append(out)
-            counts.append(n)
-        empty = np.zeros(0, np.uint64)
-        self.n = np.concatenate([np.zeros(0, np.int64), *counts])
-        tokens = np.concatenate([empty, *parts])
-        self.ends = np.cumsum(self.n + 2)
-        self.train = docs.column("train").to_numpy().astype(bool) if docs.num_rows else np.zeros(0, bool)
-        self.known, self.word = np.unique(tokens, return_inverse=True)
-        follows = np.ones(len(tokens), bool)
-        follows[self.ends - self.n - 2] = False
-        self.at = np.flatnonzero(follows)  # tokens that count: words and ends
+    def __init__(self, block: pa.Table) -> None:
+        blob = lambda c: block.column(c)[0].as_buffer().to_pybytes()
+        self.number = block.column("block")[0].as_py()
+        self.docs = table_of(block.column("docs")[0])
+        self.train = self.docs.column("train").to_numpy().astype(bool)
+        (known,), (word,), (self.n,) = unpacked(blob("known"), np.uint64), unpacked(blob("words"), np.uint32), unpacked(blob("sizes"), np.int64)
+        self.known, self.word = np.cumsum(known, dtype=np.uint64), word.astype(np.int64)
+        counts = np.ones(len(self.word), bool)
+        counts[np.cumsum(self.n + 2) - self.n - 2] = False
+        self.at = np.flatnonzero(counts)  # tokens that count: words and ends
         self.doc = np.repeat(np.arange(len(self.n)), self.n + 1)
         self.trains = self.train[self.doc]
-        pairs = window_hashes(tokens, 2)[self.at - 1] >> np.uint64(64 - PAIR_BITS) if len(tokens) else empty
-        self.pairs, first, self.pair = np.unique(pairs, return_index=True, return_inverse=True)
-        self.history, self.follower = self.word[self.at - 1][first], self.word[self.at][first]
 
     def word_counts(self) -> np.ndarray:
-        """Training count of each known word; of the start, its training texts."""
+        """Training count of each word; of the start, its training texts."""
         out = np.bincount(self.word[self.at][self.trains], minlength=len(self.known))
         out[self.known == START] = self.train.sum()
         return out
 
-    def pair_counts(self) -> np.ndarray:
-        return np.bincount(self.pair[self.trains], minlength=len(self.pairs))
+    def find_pairs(self) -> None:
+        """``pairs`` in order, their words ``left`` and ``right``, the pair that ends at each counting token, and training counts."""
+        x, y = self.word[self.at - 1], self.word[self.at]
+        self.pairs, first, self.pair = grouped(joined(self.known[x], self.known[y]))
+        self.left, self.right = x[first], y[first]
+        self.pair_counts = np.bincount(self.pair[self.trains], minlength=len(self.pairs))
 
+    def find_triples(self) -> None:
+        """As for pairs; ``left`` and ``right`` of a triple are its pairs, ``third`` the counting tokens that end one."""
+        self.third = np.flatnonzero(self.doc[1:] == self.doc[:-1]) + 1
+        x, y = self.pair[self.third - 1], self.pair[self.third]
+        self.triples, first, self.triple = grouped(joined(self.pairs[x], self.known[self.word[self.at[self.third]]]))
+        self.left_pair, self.right_pair = x[first], y[first]
+        self.triple_counts = np.bincount(self.triple[self.trains[self.third]], minlength=len(self.triples))
 
-def _totals(right: pa.Table, kind: int, keys: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Count over all blocks for each key, and whether other blocks have it; a key that isn't returned is this block's alone."""
-    total, shared = own.astype(np.int64), np.zeros(len(keys), bool)
-    if right.num_rows:
-        what = right.column("what").to_numpy()
-        mine = what & 3 == kind
-        at = np.searchsorted(keys, right.column("h").to_numpy().view(np.uint64)[mine])
-        total[at], shared[at] = what[mine] >> 2, True
-    return total, shared
+    def hear(self, right: pa.Table, *kinds: int) -> None:
+        """The totals over all blocks of what the block has sent, and which of it other blocks have too."""
+        kind = right.column("kind").to_numpy() if right.num_rows else np.zeros(0, np.int32)
+        answer = lambda k: answered(right.filter(pa.array(kind == k)), np.int64)
 
+        def totals(own: np.ndarray, sent: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            total, shared = own.astype(np.int64), np.zeros(len(own), bool)
+            shared[sent] = found & 1
+            total[shared] = found[found & 1 > 0] >> 1
+            return total, shared
 
-def _bucket(counts: np.ndarray) -> np.ndarray:
-    return np.frexp(np.maximum(counts, 1).astype(np.float64))[1] - 1
+        self.word_totals, self.word_shared = totals(self.word_counts(), np.ones(len(self.known), bool), answer(WORDS))
+        if PAIRS in kinds:
+            self.find_pairs()
+            self.pair_totals, self.pair_shared = totals(self.pair_counts, self.word_shared[self.left] & self.word_shared[self.right], answer(PAIRS))
+        if TRIPLES in kinds:
+            self.find_triples()
+            self.triple_totals, _ = totals(self.triple_counts, self.pair_shared[self.left_pair] & self.pair_shared[self.right_pair], answer(TRIPLES))
 
 
-def _rows(h: np.ndarray, block: int, bucket: np.ndarray, flag: int, c: np.ndarray) -> pa.Table:
-    at = np.int64(block) << np.int64(COUNT_BITS + 8) | bucket.astype(np.int64) << np.int64(COUNT_BITS + 2) | np.int64(flag) << np.int64(COUNT_BITS) | c.astype(np.int64)
-    return pa.table({"h": h.view(np.int64), "at": at})
+def power(counts: np.ndarray) -> np.ndarray:
+    return (np.frexp(np.maximum(counts, 1).astype(np.float64))[1] - 1).astype(np.uint8)
 
 
-def word_rows(block: pa.Table) -> pa.Table:
-    t = Tokens(unpacked(block))
-    return _rows(t.known, block.column("block")[0].as_py(), np.zeros(len(t.known)), COUNT, t.word_counts())
+def by_power(histories: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each power of two of the histories' counts: distinct n-grams seen in training, and how often."""
+    seen = counts > 0
+    return np.r_[np.bincount(histories[seen], minlength=POWERS), np.bincount(histories[seen], counts[seen], POWERS).astype(np.int64)]
 
 
-def pair_rows(block: pa.Table, right: pa.Table) -> pa.Table:
-    """The pairs that another block may have, and for each history bucket the sums over the others."""
-    t, number = Tokens(unpacked(block)), block.column("block")[0].as_py()
-    total, shared = _totals(right, WORDS, t.known, t.word_counts())
-    counts, bucket = t.pair_counts(), _bucket(total)[t.history]
-    send = shared[t.history] & shared[t.follower]
-    stay = ~send & (counts > 0)
-    types, sums = np.bincount(bucket[stay], minlength=64), np.bincount(bucket[stay], counts[stay], 64)
-    b = np.flatnonzero(types)
-    # Sums have keys of their own, above those of pairs.
-    key = lambda flag: (np.uint64(1) << np.uint64(62)) + (np.uint64(number) * np.uint64(64) + b.astype(np.uint64)) * np.uint64(4) + np.uint64(flag)
-    return pa.concat_tables([_rows(t.pairs[send], number, bucket[send], COUNT, counts[send]), _rows(key(TYPES), number, b, TYPES, types[b]), _rows(key(SUM), number, b, SUM, sums[b])])
+def sent_words(block: pa.Table, parts: int) -> pa.Table:
+    t = Tokens(block)
+    return sent(t.number, parts, t.known, t.word_counts(), np.zeros(len(t.known), np.uint8))
+
+
+def _sent_or_summed(t: Tokens, parts: int, keys: np.ndarray, counts: np.ndarray, histories: np.ndarray, go: np.ndarray) -> pa.Table:
+    """Those that other blocks may have; the rest as sums."""
+    stay = packed(by_power(histories[~go], counts[~go]))
+    return pa.concat_tables([sent(t.number, parts, keys[go], counts[go], histories[go]), sent_rows([int(t.number % parts)], NOBODY, [stay])])
+
+
+def sent_pairs(block: pa.Table, right: pa.Table, parts: int) -> pa.Table:
+    t = Tokens(block)
+    t.hear(right)
+    t.find_pairs()
+    return _sent_or_summed(t, parts, t.pairs, t.pair_counts, power(t.word_totals)[t.left], t.word_shared[t.left] & t.word_shared[t.right])
+
+
+def sent_triples(block: pa.Table, right: pa.Table, parts: int) -> pa.Table:
+    t = Tokens(block)
+    t.hear(right, PAIRS)
+    t.find_triples()
+    return _sent_or_summed(t, parts, t.triples, t.triple_counts, power(t.pair_totals)[t.left_pair], t.pair_shared[t.left_pair] & t.pair_shared[t.right_pair])
+
+
+def totals(rows: pa.Table) -> pa.Table:
+    """Of one part: twice the total and one for what several blocks have, 0 for what only one has; and the sums."""
+    mine = np.asarray(rows.column("block")) == NOBODY
+    sums = np.zeros(2 * POWERS, np.int64)
+    for blob in rows.filter(pa.array(mine)).column("blob"):
+        sums += unpacked(blob.as_buffer().to_pybytes(), np.int64)[0]
+    blocks, sizes, (keys, counts, histories) = arrived(rows.filter(pa.array(~mine)), np.int64, np.uint8)
+    known, first, number = grouped(keys)
+    total = np.bincount(number, counts, len(known)).astype(np.int64)
+    several = np.bincount(number, minlength=len(known)) > 1
+    told = known != START  # a text's start is a history, but no token
+    sums += by_power(histories[first][told], total[told])
+    return answers(rows.column("part")[0].as_py(), blocks, sizes, np.where(several, 2 * total + 1, 0)[number], sums)
 
 
 class Automaton:
-    """The states and arcs that a block's texts can reach, with log10 weights."""
+    """The states and arcs that a block's texts can reach, with log10 weights. State 0 is the root, then come words and pairs."""
 
-    def __init__(self, t: Tokens, words: np.ndarray, pairs: np.ndarray, weights: np.ndarray, n: int, v: int) -> None:
+    def __init__(self, t: Tokens, weights: dict[int, np.ndarray], n: int, v: int) -> None:
+        words, pairs, triples = t.word_totals, t.pair_totals, t.triple_totals
+        self.words, self.start = len(words), t.known == START
         known = words > 0
-        self.root = np.where(known, np.log10(np.where(known, words - DISCOUNT, 1) / max(n, 1)), np.log10(DISCOUNT * v / n) if n else 0.0)
-        lam = weights[_bucket(words)]
-        self.fail = np.where(known, np.log10(lam), 0.0)  # from the state of each word; unknown histories are the root itself
-        backed = self.fail[t.history] + self.root[t.follower]
-        seen = (pairs > 0) & known[t.history]
-        direct = (1 - lam[t.history]) * pairs / np.maximum(words[t.history], 1)
-        self.arc = np.where(seen, np.log10(direct + 10**backed), backed)
-
-    def score(self, t: Tokens) -> np.ndarray:
-        """Log10 probability of each text: arcs from state to state, summed from left to right."""
-        return np.bincount(t.doc, self.arc[t.pair], len(t.n))
-
-
-def scores(block: pa.Table, right: pa.Table) -> pa.Table:
-    docs = unpacked(block)
-    t = Tokens(docs)
-    words, _ = _totals(right, WORDS, t.known, t.word_counts())
-    pairs, _ = _totals(right, PAIRS, t.pairs, t.pair_counts())
-    what, h = right.column("what").to_numpy(), right.column("h").to_numpy()
-    rest = lambda kind: dict(zip(h[what & 3 == kind].tolist(), (what[what & 3 == kind] >> 2).tolist(), strict=True))
-    weights, sizes, split = np.full(64, DISCOUNT), rest(SIZES), rest(WEIGHTS)
-    for b in range(64):
-        if types := split.get(2 * b):
-            weights[b] = DISCOUNT * types / split[2 * b + 1]
-    n, v = sizes.get(0, 0), sizes.get(1, 0)
-    model = Automaton(t, words, pairs, weights, n, v).score(t)
-    c = words[t.word[t.at]]
+        lone = np.where(known, (words - DISCOUNT) / max(n, 1), DISCOUNT * v / n if n else 1.0)
+        self.root, self.leads = np.log10(np.where(self.start, 1.0, lone)), np.where(known, 1 + np.arange(len(words)), 0)
+        lam, lam2 = weights[PAIRS][power(words)], weights[TRIPLES][power(pairs)]
+        self.fail = np.log10(np.r_[1.0, np.where(known, lam, 1.0), lam2])
+        self.shorter = np.r_[0, np.zeros(len(words), np.int64), np.where(known[t.right], 1 + t.right, 0)]
+        state = 1 + len(words) + np.arange(len(pairs))  # of each pair, where it was seen
+        p2 = (1 - lam[t.left]) * pairs / np.maximum(words[t.left], 1) + lam[t.left] * lone[t.right]
+        p3 = (1 - lam2[t.left_pair]) * triples / np.maximum(pairs[t.left_pair], 1) + lam2[t.left_pair] * p2[t.right_pair]
+        two, three = pairs > 0, triples > 0
+        arcs = np.r_[(1 + t.left[two]) * self.words + t.right[two], state[t.left_pair[three]] * self.words + t.right[t.right_pair[three]]]
+        order = np.argsort(arcs)
+        self.arcs = arcs[order]
+        self.weight = np.log10(np.r_[p2[two], p3[three]])[order]
+        self.next = np.r_[state[two], state[t.right_pair[three]]][order]
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Reads one word in each lane: the new states, and the weights of the arcs that were followed."""
+        score, state, todo = np.zeros(len(state)), state.copy(), np.arange(len(state))
+        while len(todo):
+            at, w = state[todo], word[todo]
+            i = np.minimum(np.searchsorted(self.arcs, at * self.words + w), max(len(self.arcs) - 1, 0))
+            found = (self.arcs[i] == at * self.words + w) & (at > 0) if len(self.arcs) else np.zeros(len(at), bool)
+            here = todo[found]
+            score[here] += self.weight[i[found]]
+            state[here] = self.next[i[found]]
+            ends = todo[~found & (at == 0)]
+            score[ends] += self.root[word[ends]]
+            state[ends] = self.leads[word[ends]]
+            todo = todo[~found & (at > 0)]
+            score[todo] += self.fail[state[todo]]
+            state[todo] = self.shorter[state[todo]]
+        return state, score
+
+    def read(self, tokens: np.ndarray) -> np.ndarray:
+        """The weight of each token in its place; starts have none and set the state."""
+        size = max(1, -(-len(tokens) // LANES))
+        begin = np.arange(0, len(tokens), size)
+        out, state = np.zeros(len(tokens)), np.zeros(len(begin), np.int64)
+        for k in range(-2, size):
+            at = begin + k
+            lane = np.flatnonzero((at >= 0) & (at < len(tokens)))
+            word = tokens[at[lane]]
+            state[lane], score = self.step(state[lane], word)
+            starts = self.start[word]
+            state[lane[starts]] = self.leads[word[starts]]
+            if k >= 0:
+                out[at[lane]] = np.where(starts, 0.0, score)
+        return out
+
+
+def scores(block: pa.Table, right: pa.Table, weights: dict[int, np.ndarray], n: int, v: int) -> pa.Table:
+    t = Tokens(block)
+    t.hear(right, PAIRS, TRIPLES)
+    weight = Automaton(t, weights, n, v).read(t.word)[t.at]
+    c = t.word_totals[t.word[t.at]]
     base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
+    per_text = lambda x: np.bincount(t.doc, x, len(t.n))
     return pa.table({
-        "id": docs.column("id"), "held_out": pa.array(~t.train, pa.bool_()), "n_tokens": t.n + 1, "n_known": np.bincount(t.doc, c > 0, len(t.n)).astype(np.int64),
-        "train_tokens": np.full(len(t.n), n, np.int64), "base_score": np.bincount(t.doc, base, len(t.n)), "score": model,
+        "id": t.docs.column("id"), "held_out": pa.array(~t.train, pa.bool_()), "n_tokens": t.n + 1, "n_known": per_text(c > 0).astype(np.int64),
+        "train_tokens": np.full(len(t.n), n, np.int64), "base_score": per_text(base), "score": per_text(weight),
     })
 
 
-def lm_scores(docs: DataFrame, train, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def lm_scores(docs: DataFrame, train, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int | None = None) -> DataFrame:
     """Id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row; ``train`` is the condition on rows to learn from."""
     ship(docs.sparkSession)
-    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    d = blocked(d, "text", by="id", block_bytes=block_bytes)
-    blocks = d.schema["block"].metadata["blocks"]
-    texts = packed(d.select("block", "id", "text", "train")).groupBy("block")
-    count, block = F.col("at").bitwiseAND(F.lit((1 << COUNT_BITS) - 1)), F.shiftright("at", COUNT_BITS + 8).cast("int")
-    flag, bucket = F.shiftright("at", COUNT_BITS).bitwiseAND(F.lit(3)), F.shiftright("at", COUNT_BITS + 2).bitwiseAND(F.lit(63))
-
-    def over_all(rows: DataFrame) -> DataFrame:
-        # Both uses below need all columns, so they read one exchange.
-        key = W.partitionBy("h")
-        return rows.select("h", "at", F.sum(count).over(key).alias("total"), F.count(F.lit(1)).over(key).alias("n"), F.min("at").over(key).alias("one"))
-
-    def back(rows: DataFrame, kind: int) -> DataFrame:
-        return rows.filter("n > 1").select(block.alias("block"), "h", (F.col("total") * 4 + kind).alias("what"))
-
-    def to_all(rows: DataFrame, kind: int) -> DataFrame:
-        every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
-        return rows.select(every, "h", (F.col("value").cast("long") * 4 + kind).alias("what")).filter("what is not null")
-
-    words = over_all(texts.applyInArrow(word_rows, "h long, at long"))
-    pairs = over_all(texts.cogroup(back(words, WORDS).groupBy("block")).applyInArrow(pair_rows, "h long, at long"))
-    # Each key counts once, where its first row is; pairs that stayed in a block by their sums.
-    first, seen = F.col("at") == F.col("one"), (F.col("total") > 0).cast("long")
-    by_bucket = pairs.filter(first).groupBy(bucket.alias("b")).agg(F.sum(F.when(flag == COUNT, seen).when(flag == TYPES, count)).alias("types"), F.sum(F.when(flag == COUNT, F.col("total")).when(flag == SUM, count)).alias("sum"))
-    split = by_bucket.select(F.inline(F.array(F.struct((F.col("b") * 2).cast("long").alias("h"), F.col("types").alias("value")), F.struct((F.col("b") * 2 + 1).cast("long").alias("h"), F.col("sum").alias("value")))))
-    sizes = words.filter(first & (F.col("h") != int(START.view(np.int64)))).agg(F.sum("total").alias("n"), F.sum(seen).alias("v"))
-    sizes = sizes.select(F.inline(F.array(F.struct(F.lit(0).cast("long").alias("h"), F.col("n").alias("value")), F.struct(F.lit(1).cast("long").alias("h"), F.col("v").alias("value")))))
-    right = back(words, WORDS).union(back(pairs, PAIRS)).union(to_all(split, WEIGHTS)).union(to_all(sizes, SIZES))
-    ids = d.schema["id"].dataType.simpleString()
-    out = texts.cogroup(right.groupBy("block")).applyInArrow(scores, f"id {ids}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    return out.withColumnRenamed("id", id_col)
+    shelf = Shelf(docs.sparkSession, "lm")
+    try:
+        d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(True)).alias("train"))
+        blocks = Blocks(d, shelf, packed_tokens, ["docs", "known", "words", "sizes"], block_bytes=block_bytes)
+        parts = blocks.parts
+
+        def counted(rows: DataFrame, kind: int) -> tuple[DataFrame, np.ndarray]:
+            found = shelf.stored(rows.groupBy("part").applyInArrow(totals, ANSWER).withColumn("kind", F.lit(kind)), f"totals-{kind}")
+            sums = found.filter(F.col("block") == NOBODY).select(F.posexplode("sums").alias("at", "n")).groupBy("at").agg(F.sum("n")).collect()  # 2 * POWERS rows
+            return found, np.array([n for _, n in sorted(map(tuple, sums))] or [0] * 2 * POWERS)
+
+        words, sizes = counted(blocks.each(lambda b: sent_words(b, parts), SENT), WORDS)
+        pairs, split2 = counted(blocks.met(words, lambda b, r: sent_pairs(b, r, parts), SENT), PAIRS)
+        triples, split3 = counted(blocks.met(words.union(pairs), lambda b, r: sent_triples(b, r, parts), SENT), TRIPLES)
+        share = lambda s: np.where(s[POWERS:] > 0, DISCOUNT * s[:POWERS] / np.maximum(s[POWERS:], 1), DISCOUNT)
+        weights, n, v = {PAIRS: share(split2), TRIPLES: share(split3)}, int(sizes[POWERS:].sum()), int(sizes[:POWERS].sum())
+        kinds = f"id {d.schema['id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+        out = blocks.met(words.union(pairs).union(triples), lambda b, r: scores(b, r, weights, n, v), kinds)
+        return stored(out.withColumnRenamed("id", id_col), "lm-scores")
+    finally:
+        shelf.clear()

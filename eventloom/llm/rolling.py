@@ -1,26 +1,31 @@
 """Hashes of words and of word windows over Arrow text buffers, in whole-array steps.
 
-A hash is a polynomial modulo 2^64 with an odd base, so any stretch comes from
-two prefix sums; a mixing step follows. Equal stretches get equal hashes on
-every machine.
+A word's hash starts from its length and takes its bytes eight at a time, with a
+mixing step after each eight; words of more than LONG bytes are hashed by
+BLAKE2b. A window's hash is a chain over the hashes of its words, made by
+doubling: a stretch of 2n words comes from its two halves. Neither is a
+polynomial, so no pattern of letters or words cancels out. Equal stretches get
+equal hashes on every machine.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
+import hashlib
 
 import numpy as np
 import pyarrow as pa
 
-BASE_BYTE = 0x9E3779B97F4A7C15
-BASE_WORD = 0xD1342543DE82EF95
-#: Bytes whose prefix sums are held at once.
-PIECE = 1 << 20
+#: Bytes of a word above which it is hashed by itself.
+LONG = 64
 
 BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
 TO_LOWER = np.arange(256, dtype=np.uint8)
 TO_LOWER[65:91] += 32
+#: What is left of the last eight bytes of a word, by how many of them belong to it.
+TAIL = np.array([(1 << 8 * n) - 1 for n in range(8)] + [(1 << 64) - 1], np.uint64)
+#: Odd numbers that tell a hash on its left side from one on its right.
+LEFT, RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -32,20 +37,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64))
-
-
-@lru_cache(maxsize=4)
-def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    up = np.full(size, base, np.uint64)
-    down = np.full(size, pow(base, -1, 1 << 64), np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-
-
-def powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, at least ``size`` of them."""
-    return _powers(base, 1 << max(20, int(size - 1).bit_length()))
+def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The hash of two stretches one after the other."""
+    return mix(mix(left * LEFT + np.uint64(1)) + right * RIGHT)
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -69,17 +63,22 @@ def word_hashes(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.n
     before = np.r_[False, solid[:-1]] if len(data) else solid
     starts = np.flatnonzero(solid & (~before | cut[:-1]))
     after = np.r_[solid[1:], False] if len(data) else solid
-    ends = np.flatnonzero(solid & (~after | cut[1:])) + 1
-    out = np.empty(len(starts), np.uint64)
-    a = 0
-    while a < len(starts):  # whole words, about PIECE bytes at a time
-        b = max(a + 1, int(np.searchsorted(ends, starts[a] + PIECE, "right")))
-        s, e = starts[a:b] - starts[a], ends[a:b] - starts[a]
-        up, down = powers(BASE_BYTE, int(e[-1]) + 1)
-        sums = np.r_[np.uint64(0), np.cumsum(BYTE_VALUE[data[starts[a] : ends[b - 1]]] * up[: e[-1]], dtype=np.uint64)]
-        out[a:b] = (sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64)
-        a = b
-    return mix(out), np.searchsorted(starts, offsets)
+    sizes = np.flatnonzero(solid & (~after | cut[1:])) + 1 - starts
+    padded = np.r_[data, np.zeros(8, np.uint8)]
+    # The eight bytes from each position on.
+    eights = np.ndarray((len(data) + 1,), "<u8", padded.data, strides=(1,))
+    out = mix(sizes.astype(np.uint64) * LEFT)
+    left = np.flatnonzero(sizes <= LONG)
+    at = 0
+    while len(left):
+        piece = eights[starts[left] + at] & TAIL[np.minimum(sizes[left] - at, 8)]
+        out[left] = mix((out[left] ^ piece) * RIGHT + LEFT)
+        at += 8
+        left = left[sizes[left] > at]
+    for i in np.flatnonzero(sizes > LONG):
+        word = data[starts[i] : starts[i] + sizes[i]].tobytes()
+        out[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+    return out, np.searchsorted(starts, offsets)
 
 
 def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
@@ -87,9 +86,16 @@ def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
     n = len(words) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    up, down = powers(BASE_WORD, len(words) + 1)
-    sums = np.r_[np.uint64(0), np.cumsum(words * up[: len(words)], dtype=np.uint64)]
-    return mix((sums[size:] - sums[:-size]) * down[:n])
+    out, done, stretch, covers = None, 0, words, 1
+    while True:
+        if size & covers:  # the stretches of 1, 2, 4, ... words that make up the size, from left to right
+            part = stretch[done : done + n]
+            out = part if out is None else joined(out, part)
+            done += covers
+        if done == size:
+            return mix(out + np.uint64(size))
+        stretch = joined(stretch[:-covers], stretch[covers:])
+        covers *= 2
 
 
 def whole_windows(firsts: np.ndarray, size: int, n: int) -> np.ndarray:

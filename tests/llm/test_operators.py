@@ -9,10 +9,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from eventloom.llm import bpe, chat_quotes, decontaminate, lm, near_dedup, quality_gam, quality_rules, substring_dedup, token_counts, warc
+from eventloom.llm import bpe, chat_quotes, decontaminate, lm, near_dedup, quality_gam, quality_rules, rolling, substring_dedup, token_counts, warc
 from eventloom.llm.common import vocabulary
 from eventloom.llm.components import components
 
@@ -253,6 +254,23 @@ def test_substring_dedup(docs, nothing):
     assert out.columns == [*docs.columns, "n_words", "n_removed", "kept"]
     assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept) for r in out.collect()) == sorted((i, *want[i]) for i, _ in rows)
     assert sum(x[1] for x in want.values()) > 500 and substring_dedup.substring_dedup(nothing).count() == 0
+    small = substring_dedup.substring_dedup(docs, block_bytes=3000)
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept) for r in small.collect()) == sorted((i, *want[i]) for i, _ in rows)
+
+
+def test_substring_dedup_of_awkward_rows(spark):
+    """Words that a polynomial hash takes for each other, ids that repeat or lack, names that clash, columns without nulls."""
+    bits = lambda n: "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    odd = [(bits(n), bits(n).translate(str.maketrans("ab", "ba"))) for n in (32, 64, 1024, 2048, 4096)]
+    hashes, _ = rolling.word_hashes(pa.array([" ".join(x) for x in odd] + [" ".join("xyzzy" * k + "q" for k in range(40))]))
+    assert len(set(hashes.tolist())) == len(hashes)
+    prose = lambda k, n: [f"{k}{i}" for i in range(n)]
+    rows = [(5, " ".join([*prose("p", 34), a])) for a, _ in odd] + [(5, " ".join([*prose("p", 34), b])) for _, b in odd]
+    rows += [(None, " ".join(prose("r", 40))), (None, " ".join(prose("r", 40))), (7, " ".join(prose("s", 36))), (7, " ".join(prose("t", 36)))]
+    d = spark.createDataFrame(rows, "doc_id long, text string").select(F.lit("k").alias("kept"), "doc_id", "text", F.lit(1).alias("n_words"), F.array(F.struct(F.lit(1).alias("x"))).alias("a b"))
+    out = substring_dedup.substring_dedup(d)
+    assert out.columns == ["doc_id", "text", "a b", "n_words", "n_removed", "kept"]
+    assert sorted((r.n_words, r.n_removed) for r in out.collect()) == sorted([(35, 0)] * 10 + [(40, 40)] * 2 + [(36, 0)] * 2)
 
 
 def test_quotes(spark):
@@ -272,31 +290,45 @@ def test_quotes(spark):
     assert {r.thread for r in chat_quotes.reply_ordered(chain).collect()} == {0}
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 14, 20 << 20])
-def test_lm(docs, nothing, block_bytes):
-    D = lm.DISCOUNT
-    tokens = [(i, WORD.findall((t or "").translate(LOWER)) + ["</s>"]) for i, t in pairs(docs)]
-    train = {i: zlib.crc32(str(i).encode()) % 5 != 1 for i, _ in tokens}
-    u, b, h = collections.Counter(), collections.Counter(), collections.Counter()
+def plain_scores(tokens, train):
+    """The model by its formulas, with dictionaries."""
+    D, counts, weights = lm.DISCOUNT, [collections.Counter() for _ in range(4)], [None, None, {}, {}]
     for i, w in tokens:
         if train[i]:
-            u.update(w)
-            b.update(zip(["<s>", *w], w, strict=False))
-            h.update(["<s>", *w[:-1]])
-    n, v, types, sums = sum(u.values()), len(u), collections.Counter(), collections.Counter()
-    for (x, _), c in b.items():
-        types[int(math.log2(h[x]))] += 1
-        sums[int(math.log2(h[x]))] += c
-    want = []
+            w = ["<s>", *w]
+            counts[1].update(w)
+            counts[2].update(zip(w, w[1:], strict=False))
+            counts[3].update(zip(w, w[1:], w[2:], strict=False))
+    history = lambda g: counts[1][g[0]] if len(g) == 2 else counts[2][g[:-1]]
+    for k in (2, 3):
+        types, sums = collections.Counter(), collections.Counter()
+        for g, c in counts[k].items():
+            types[int(math.log2(history(g)))] += 1
+            sums[int(math.log2(history(g)))] += c
+        weights[k] = {b: D * types[b] / sums[b] for b in types}
+    u = {x: c for x, c in counts[1].items() if x != "<s>"}
+    n, v = sum(u.values()), len(u)
+
+    def p(g):
+        if len(g) == 1:
+            return (u[g[0]] - D) / n if g[0] in u else D * v / n
+        if not (h := history(g)):
+            return p(g[1:])
+        l = weights[len(g)].get(int(math.log2(h)), D)  # noqa: E741
+        return (1 - l) * counts[len(g)][g] / h + l * p(g[1:])
+
     for i, w in tokens:
-        total = 0.0
-        for x, y in zip(["<s>", *w], w, strict=False):
-            p = (u[y] - D) / n if u[y] else D * v / n
-            if h[x]:
-                k = int(math.log2(h[x]))
-                p = (1 - D * types[k] / sums[k]) * b[x, y] / h[x] + D * types[k] / sums[k] * p
-            total += math.log10(p)
-        want.append((i, not train[i], len(w), sum(u[y] > 0 for y in w), n, sum(math.log10((u[y] + 0.5) / (n + 0.5 * (v + 1))) for y in w), total))
+        seq = ["<s>", *w]
+        score = sum(math.log10(p(tuple(seq[max(0, k - 2) : k + 1]))) for k in range(1, len(seq)))
+        base = sum(math.log10((u.get(y, 0) + 0.5) / (n + 0.5 * (v + 1))) for y in w)
+        yield i, not train[i], len(w), sum(y in u for y in w), n, base, score
+
+
+@pytest.mark.parametrize(("block_bytes", "lanes"), [(1 << 14, 7), (None, 8192)])
+def test_lm(docs, nothing, block_bytes, lanes, monkeypatch):
+    monkeypatch.setattr(lm, "LANES", lanes)
+    tokens = [(i, WORD.findall((t or "").translate(LOWER)) + ["</s>"]) for i, t in pairs(docs)]
+    want = list(plain_scores(tokens, {i: zlib.crc32(str(i).encode()) % 5 != 1 for i, _ in tokens}))
     rule = quality_gam.fold(F.col("doc_id")) != 1
     got = sorted(map(tuple, lm.lm_scores(docs, rule, block_bytes=block_bytes).collect()))
     for g, x in zip(got, sorted(want), strict=True):
@@ -305,6 +337,20 @@ def test_lm(docs, nothing, block_bytes):
     assert {r.score for r in lm.lm_scores(docs, F.lit(False)).collect()} == {0.0}
 
 
+def test_lm_families(spark):
+    """Texts of a few words, so that all orders are seen, unseen and shared between blocks."""
+    r = random.Random(8)
+    rows = [(i if i % 9 else None, " ".join(r.choice("a b c d e f g".split()) for _ in range(r.randint(0, 30)))) for i in range(300)] + [(None, None)] * 2
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    rule = quality_gam.fold(F.col("doc_id")) != 1
+    tokens = [(k, WORD.findall(t or "") + ["</s>"]) for k, (_, t) in enumerate(rows)]
+    want = list(plain_scores(tokens, {k: i is None or zlib.crc32(str(i).encode()) % 5 != 1 for k, (i, _) in enumerate(rows)}))
+    key = lambda x: (x[0] is None, x[0], *x[1:5], round(x[6], 6))
+    got = sorted(map(tuple, lm.lm_scores(d, rule, block_bytes=600).collect()), key=lambda x: str(key(x)))
+    for g, x in zip(got, sorted([(rows[k][0], *rest) for k, *rest in want], key=lambda x: str(key(x))), strict=True):
+        assert g[:5] == x[:5] and g[5:] == pytest.approx(x[5:])
+
+
 def test_words_sum_to_one(docs):
     """Known words and the unknown one share the whole probability."""
     counts = np.array([3, 1, 5, 2])
