@@ -191,23 +191,34 @@ class Automaton:
         arcs = np.r_[(1 + t.left[two]) * self.words + t.right[two], state[t.left_pair[three]] * self.words + t.right[t.right_pair[three]]]
         order = np.argsort(arcs)
         self.arcs = arcs[order]
+        self.begin = np.r_[0, np.cumsum(np.bincount(self.arcs // self.words, minlength=len(self.fail)))] if self.words else np.zeros(2, np.int64)
         self.weight = np.log10(np.r_[p2[two], p3[three]])[order]
         self.next = np.r_[state[two], state[t.right_pair[three]]][order]
 
+    def arc(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which states have an arc for the word, and the arcs of those."""
+        key, first = state * self.words + word, self.begin[state]
+        some = np.flatnonzero(self.begin[state + 1] > first)
+        at = first[some]
+        more = self.arcs[at] < key[some]  # not the state's first arc
+        at[more] = np.searchsorted(self.arcs, key[some[more]])
+        hit = self.arcs[np.minimum(at, len(self.arcs) - 1)] == key[some] if len(some) else np.zeros(0, bool)
+        found = np.zeros(len(state), bool)
+        found[some[hit]] = True
+        return found, at[hit]
+
     def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Reads one word in each lane: the new states, and the weights of the arcs that were followed."""
         score, state, todo = np.zeros(len(state)), state.copy(), np.arange(len(state))
         while len(todo):
-            at, w = state[todo], word[todo]
-            i = np.minimum(np.searchsorted(self.arcs, at * self.words + w), max(len(self.arcs) - 1, 0))
-            found = (self.arcs[i] == at * self.words + w) & (at > 0) if len(self.arcs) else np.zeros(len(at), bool)
-            here = todo[found]
-            score[here] += self.weight[i[found]]
-            state[here] = self.next[i[found]]
-            ends = todo[~found & (at == 0)]
+            found, arcs = self.arc(state[todo], word[todo])
+            here, rest = todo[found], todo[~found]
+            score[here] += self.weight[arcs]
+            state[here] = self.next[arcs]
+            root = state[rest] == 0
+            ends, todo = rest[root], rest[~root]
             score[ends] += self.root[word[ends]]
             state[ends] = self.leads[word[ends]]
-            todo = todo[~found & (at > 0)]
             score[todo] += self.fail[state[todo]]
             state[todo] = self.shorter[state[todo]]
         return state, score
