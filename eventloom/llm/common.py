@@ -76,16 +76,13 @@ class Shelf:
         self.tables.append(name)
         return self.spark.table(name)
 
-    def drop(self, df: DataFrame) -> None:
-        """Deletes one stored table that nothing reads any more."""
-        self._delete(*{f.rsplit("/", 1)[0] for f in df.inputFiles()})
-
     def clear(self) -> None:
         for name in self.tables:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        self._delete(self.path)
+        self.discard(self.path)
 
-    def _delete(self, *paths: str) -> None:
+    def discard(self, *paths: str) -> None:
+        """Deletes what nothing reads any more."""
         jvm = self.spark._jvm
         for p in paths:
             path = jvm.org.apache.hadoop.fs.Path(p)

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventloom.llm import bpe, chat_quotes, decontaminate, lm, near_dedup, quality_gam, quality_rules, rolling, substring_dedup, token_counts, warc
-from eventloom.llm.common import vocabulary
+from eventloom.llm.common import Shelf, vocabulary
 from eventloom.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -87,29 +87,67 @@ def test_tables_are_what_is_added():
     assert (0, 1) in m.pairs and ((m.scores(x) > 0.5) == (y > 0)).mean() > 0.85
 
 
-def test_archives(spark):
-    html = ["<p>é</p>", None, "", "x\r\n\r\nWARC/1.1\r\n\nfiledesc://", "<p>é</p>", "y" * 200_000, "<p>é</p>"]
-    rows = [(i * 3 - 4, u, h, 1) for i, (u, h) in enumerate(zip(["http://a/b c", None, "", "http://x", "u", "v", "w"], html, strict=True))]
-    pages = spark.createDataFrame(rows + [rows[0]], "page_id long, url string, html string, digest int")
-    out = sorted(map(tuple, warc.converted_pages(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()))
-    first = {}
-    for i, _, h, _ in rows:
-        first[h or ""] = min(i, first.get(h or "", i))
-    want = []
-    for i, _, h, _ in rows + [rows[0]]:
-        p = (h or "").encode()
-        same = first[h or ""] == i
-        want.append((i, len(p), base64.b32encode(hashlib.sha1(p).digest()).decode(), "response" if same else "revisit", None if same else first[h or ""]))
-    assert out == sorted(want)
+def archived(rows):
+    """What the conversion of (page_id, html) rows gives back."""
+    ids = {}
+    for i, h in rows:
+        if i is not None:
+            ids[h or ""] = min(i, ids.get(h or "", i))
+    none, out = set(), []
+    for i, h in rows:
+        p, first = (h or "").encode(), ids.get(h or "")
+        lone = first is None and p not in none
+        none |= {p} if lone else set()
+        same = lone or i is not None and i == first
+        out.append((i, len(p), base64.b32encode(hashlib.sha1(p).digest()).decode(), "response" if same else "revisit", None if same else first))
+    return out
+
+
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_archives(spark, broadcast, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", broadcast)
+    html = ["<p>é</p>", None, "", "x\r\n\r\nWARC/1.1\r\n\nfiledesc://", "<p>é</p>", "y" * 200_000, "<p>é</p>", "z\n\nz"]
+    rows = [(i * 3 - 4, u, h, 1) for i, (u, h) in enumerate(zip(["http://a/b c", None, "", "http://x#page-id=5", "u", "v", "w", "ü"], html, strict=True))]
+    rows += [rows[0], (None, "n", "<p>é</p>", 1), (None, "n", "only here", 1), (None, None, "only here", 1), (None, None, None, 1)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest int").repartition(3)
+    found = warc.converted_pages(pages)
+    out = sorted(map(tuple, found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()), key=str)
+    assert out == sorted(archived([(i, h) for i, _, h, _ in rows]), key=str)
+    assert found.filter("url = 'http://x#page-id=5' and page_id = 5").count() == 1 and found.select("record_id").distinct().count() == len(rows)
+    assert found.alias("a").join(found.alias("b"), F.expr("a.refers_to_record = b.record_id and b.record_type = 'response' and a.payload_digest = b.payload_digest")).count() == sum(x[3] == "revisit" for x in out)
     assert warc.converted_pages(pages.limit(0)).count() == 0
-    for v in (1, 2):
-        data = zlib.compress(warc.version_block(v) + b"\n" + warc.arc_record(v, "http://a b", 7, b"q\nq") + b"\n", wbits=31)
-        ((url, date, kind, body),) = warc.parsed_arc(data)
-        assert (url, date, kind) == ("http://a%20b", "20000101000007", "text/html") and warc.parsed_http(body)[2] == b"q\nq"
-    with pytest.raises(ValueError, match="ends inside"):
-        list(warc.parsed_arc(zlib.compress(warc.version_block(1) + b"http://x 0.0.0.0 20000101000000 text/html 9\nabc", wbits=31)))
-    for i in (0, -1, 5, 2**63 - 1, -(2**63)):
-        assert warc.page_of(warc.page_uuid(i, "d")) == i
+
+
+def test_foreign_archives(spark, tmp_path):
+    """Files as other writers made them: blanks in urls, bare line ends, no blank after a colon, dns and ftp records, gzip members, short dates."""
+    one = b"filedesc://IA-001.arc 0.0.0.0 19960923142103 text/plain 200\n" + (b"1 0 Alexa Internet\nURL IP-address Archive-date Content-type Archive-length\n").ljust(200, b" ")
+    records = [
+        (b"http://www.dryswamp.edu:80/a b.html 127.10.100.2 19961104142103 text/html", b"HTTP/1.0 200 Document follows\nContent-Type:text/html\nX\n\n<a>\n\n</a>"),
+        (b"dns:www.dryswamp.edu 207.241.224.2 199611041421 text/dns", b"19961104142103\nwww.dryswamp.edu. 600 IN A 127.10.100.2\n"),
+        (b"http://copy.edu/ 127.10.100.2 19971104142103 text/html", b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n<a>\n\n</a>"),
+        (b"http://no.body/ 1.2.3.4 1998 text/html", b"HTTP/1.0 204 None\n"), (b"ftp://f.org/x 1.2.3.4 19980101000000 application/zip", b"\x00\xff\nPK"),
+    ]
+    lines = [one, *(h + b" %d\n" % len(b) + b for h, b in records)]
+    (tmp_path / "plain.arc").write_bytes(b"".join(x + b"\n" for x in lines))
+    two = b"filedesc://v2.arc 0.0.0.0 20010101000000 text/plain 200 - - 0 v2.arc 120\n" + f"2 0 other\n{warc.ARC_FIELDS[2]}\n".encode().ljust(120)
+    body = b"HTTP/1.1 404 Not Found\r\n\r\nnothing"
+    lines2 = [two, b"http://x.org/%C3%A9 9.9.9.9 20010203040506 text/html 404 abc - 120 v2.arc " + b"%d\r\n" % len(body) + body]
+    (tmp_path / "members.arc.gz").write_bytes(b"".join(zlib.compress(x + b"\n\n", wbits=31) for x in lines2))
+    shelf = Shelf(spark, "foreign")
+    warc.convert(spark, str(tmp_path), f"{shelf.path}/out", shelf)
+    got = {r.url: r for r in warc.read_warc(spark, f"{shelf.path}/out", glob="part-*").collect()}
+    kinds = {u: (r.record_type, r.date, r.payload_bytes, r.page_id) for u, r in got.items()}
+    assert kinds == {
+        "http://www.dryswamp.edu:80/a b.html": ("response", "1996-11-04T14:21:03Z", 9, None), "dns:www.dryswamp.edu": ("resource", "1996-11-04T14:21:00Z", len(records[1][1]), None),
+        "http://copy.edu/": ("revisit", "1997-11-04T14:21:03Z", 9, None), "http://no.body/": ("response", "1998-01-01T00:00:00Z", 0, None), "ftp://f.org/x": ("resource", "1998-01-01T00:00:00Z", 5, None),
+        "http://x.org/%C3%A9": ("response", "2001-02-03T04:05:06Z", 7, None),
+    }
+    assert got["http://copy.edu/"].refers_to_record == got["http://www.dryswamp.edu:80/a b.html"].record_id
+    raw = b"".join(zlib.decompress(p.read_bytes(), 31) for p in sorted((__import__("pathlib").Path(f"{shelf.path}/out")).glob("part-*.gz")))
+    assert raw.count(b"WARC-Type: warcinfo") == 2 and b"version block 1 0 Alexa Internet" in raw
+    for bad, said in ((one + b"\nhttp://x 0.0.0.0 20000101000000 text/html 9\nabc", "ends inside"), (b"http://x 0.0.0.0 2000 text/html 0\n", "starts with"), (one.replace(b"1 0 Alexa", b"3 0 Alexa"), "isn't known")):
+        with pytest.raises(ValueError, match=said):
+            list(warc.parsed_arc(bad))
 
 
 @pytest.fixture(scope="module")
