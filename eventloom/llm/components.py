@@ -1,11 +1,16 @@
-"""Connected components by alternating star contractions, each round cut off in the shared folder."""
+"""Connected components by alternating star contractions, each round cut off in the shared folder.
+
+Defined results: edges that repeat or lead from a node to itself change nothing;
+edges with a null end are left out; an empty table gives an empty result; other
+columns are not read.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import Shelf
 
 
 def _contracted(edges: DataFrame, *, large: bool) -> DataFrame:
@@ -23,13 +28,14 @@ def _contracted(edges: DataFrame, *, large: bool) -> DataFrame:
     return out.filter("a != b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, shelf: Shelf | None = None) -> DataFrame:
     """``node`` and ``label``, the smallest node it reaches, for each node of an edge (columns ``a`` and ``b``)."""
+    shelf = shelf or Shelf(edges.sparkSession, "components")
     digest = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    e = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), "edges")
+    e = shelf.stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), "edges")
     before = digest(e)
     while True:
-        e = stored(_contracted(stored(_contracted(e, large=True), "edges"), large=False), "edges")
+        e = shelf.stored(_contracted(shelf.stored(_contracted(e, large=True), "edges"), large=False), "edges")
         now = digest(e)
         if now == before:
             break

@@ -1,29 +1,33 @@
 """Near-duplicate documents by HyperMinHash.
 
 A document is the set of its distinct shingles, SHINGLE words each unless the
-caller says otherwise (fewer words: the whole sequence). Each shingle's hash chooses one of BUCKETS buckets; a bucket keeps,
-of its smallest value, the count of leading zeros and the mantissa bits after
-the leading one. Empty buckets borrow from others in a fixed random order, so
-that short texts have whole bands too. Bands of registers make candidate keys.
-
-Candidate pairs are compared by one mantissa bit of each register: unequal
-minima agree in half of the bits, so the similarity is estimated as
-(agreement - 1/2) / (1/2). Pairs whose estimate is clearly below the threshold
-never leave the join. Short texts fill few registers, so their estimate is wide;
-for them a second sketch, the parity of the shingles of each of PARITIES cells,
-bounds it: two sets differ in at least as many shingles as their parities differ
-in cells, so a pair beyond the bound is surely no link. The full sets confirm the
-rest.
+caller says otherwise (fewer words: the whole sequence). Each shingle's hash
+chooses one of BUCKETS buckets; a bucket keeps, of its smallest value, the count
+of leading zeros (6 bits) and the mantissa bits after the leading one (10 bits).
+Empty buckets borrow from others in a fixed random order, so that short texts
+have whole bands too. Bands of these compressed registers make candidate keys.
+
+Candidate pairs are compared by sketches before their texts are. First by a sure
+bound: the parities of the shingles of each of PARITIES cells differ in no more
+cells than the sets differ in shingles. Then by the registers, cut to 8 bits (3
+of the zeros, 5 of the mantissa) and laid out in bit planes: of N registers that
+either set fills, C are equal, E of them by mere chance. E follows from both set
+sizes, and the similarity is estimated as (C - E) / (N - E). Pairs whose estimate
+is clearly below the threshold go no further; the full sets confirm the rest.
 
 Equal sets are one class from the start, so copies are never paired. Within a
 key, every class is first held against one leader, which is linear. Links join
 classes to components; then only classes of one key in different components are
 held against each other.
 
-Defined results: a document without words is linked with nothing; rows that
-repeat are copies of each other; an empty table gives an empty result; columns
-other than the id and the text are not read. Sets are compared by 64-bit hashes
-of their shingles.
+Defined results: a document without words is linked with nothing; a very long
+text is one row like any other; rows that repeat are copies of each other; rows
+that share an id but not a text are judged by their texts, and a component's id
+is the smallest of any row in it; rows without an id are linked like others,
+their component has the smallest id of the rest, or none, and they count as kept
+if there is no other; an empty table gives an empty result; columns other than
+the id and the text are not read. Sets are compared by 64-bit hashes of their
+shingles, classes by 64-bit sums of these.
 """
 
 from __future__ import annotations
@@ -33,11 +37,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .arrowtext import by_bytes
-from .common import ship, stored
+from .common import Shelf, ship, stored
 from .components import components
 from .rolling import mix, whole_windows, window_hashes, word_hashes
 
@@ -48,15 +51,20 @@ BUCKET_BITS = 9
 BUCKETS = 1 << BUCKET_BITS
 #: Sets at the threshold miss all bands in a smaller share of cases: 8 registers in each of 64 bands for 0.85, 6 in each of 85 for 0.8.
 MISSED = 2e-9
-#: Bits of a register's mantissa.
-MANTISSA = 26
-#: An estimate this many standard deviations below the threshold is not confirmed further.
+#: Bits of a register's mantissa below its 6 bits of leading zeros.
+MANTISSA = 10
+#: Bits of the zeros and of the mantissa that the estimate compares.
+CUT_ZEROS, CUT_MANTISSA = 3, 5
+PLANES, LONGS = CUT_ZEROS + CUT_MANTISSA, BUCKETS // 64
+#: Texts that a worker describes at once.
+ROWS_AT_ONCE = 1024
+#: An estimate this many standard deviations below the threshold goes no further.
 DEVIATIONS = 6.0
 #: Cells of the parity sketch.
 PARITIES = 512
 #: A class of copies is dealt over so many parts where its rows meet their component.
 SALTS = 16
-EMPTY = np.uint32(0xFFFFFFFF)
+EMPTY = np.uint16(0xFFFF)
 
 
 def shingle_sets(batch: pa.RecordBatch, text: int, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -83,7 +91,7 @@ def shingle_sets(batch: pa.RecordBatch, text: int, size: int = SHINGLE) -> tuple
 def registers(hashes: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """One row of BUCKETS registers per text. The top bits choose the bucket, so the first hash of a bucket is its smallest."""
     docs = len(begin) - 1
-    out = np.full((docs, BUCKETS), EMPTY, np.uint32)
+    out = np.full((docs, BUCKETS), EMPTY, np.uint16)
     owner = np.repeat(np.arange(docs), np.diff(begin))
     bucket = (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
     first = np.ones(len(hashes), bool)
@@ -93,10 +101,35 @@ def registers(hashes: np.ndarray, begin: np.ndarray) -> np.ndarray:
     top -= (value >> np.maximum(top - 1, 0).astype(np.uint64) == 0).astype(top.dtype)
     zeros = (64 - top).astype(np.uint64)
     mantissa = (value << (zeros + np.uint64(1)) % np.uint64(64)) >> np.uint64(64 - MANTISSA)
-    out[owner[first], bucket[first]] = ((zeros << np.uint64(MANTISSA)) | mantissa).astype(np.uint32)
+    out[owner[first], bucket[first]] = ((np.minimum(zeros, np.uint64(62)) << np.uint64(MANTISSA)) | mantissa).astype(np.uint16)
     return out
 
 
+def collisions(n: np.ndarray) -> np.ndarray:
+    """Expected number of cut registers that two unrelated sets of n shingles have in common, by the chance of each value."""
+    zeros, mantissa = np.meshgrid(np.arange(48), np.arange(1 << CUT_MANTISSA), indexing="ij")
+    low = 0.5**zeros * (0.5 + 0.5 * mantissa / (1 << CUT_MANTISSA))  # where in a bucket the values of a cell begin
+    high = low + 0.5 ** (zeros + 1) / (1 << CUT_MANTISSA)
+    above = lambda edge: np.exp(n[:, None, None] * np.log1p(-edge / BUCKETS))
+    cell = above(low) - above(high)
+    # Zeros are told apart modulo 8 only.
+    cell = cell.reshape(len(n), -1, 1 << CUT_ZEROS, 1 << CUT_MANTISSA).sum(1)
+    return BUCKETS * (cell**2).sum((1, 2))
+
+
+#: Log2 of set sizes and the square root of their expected collisions; two sizes together have the product.
+SIZES = np.arange(0, 120) / 4
+CHANCE = np.sqrt(collisions(2.0**SIZES))
+
+
+def bit_planes(regs: np.ndarray) -> np.ndarray:
+    """Per text which registers are filled, and the bits of their cut values, plane by plane, packed in longs."""
+    filled = regs != EMPTY
+    cut = (regs >> np.uint16(MANTISSA) & np.uint16((1 << CUT_ZEROS) - 1)) << np.uint16(CUT_MANTISSA) | (regs >> np.uint16(MANTISSA - CUT_MANTISSA) & np.uint16((1 << CUT_MANTISSA) - 1))
+    planes = [filled, *((cut >> np.uint16(p) & np.uint16(1)).astype(bool) & filled for p in range(PLANES))]
+    return np.concatenate([np.packbits(x, axis=1).view(np.int64) for x in planes], axis=1)
+
+
 def parities(hashes: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """PARITIES bits per text, packed in longs: whether an odd number of its hashes falls in each cell."""
     docs = len(begin) - 1
@@ -129,26 +162,28 @@ def banded(percent: int) -> int:
     return max((band for band in range(1, BUCKETS + 1) if missed(band) < MISSED), default=1)
 
 
+SKETCH = "id {id}, t long, s long, n long, keys array<long>, odd array<long>, planes array<long>, chance double"
+
+
 def described(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Id, set fingerprint, set size, band keys, one bit of each register, how many bits similar sets may differ in, and parities."""
+    """Id, text hash, set fingerprint, set size, band keys, parities, bit planes of the registers, and the root of the expected collisions."""
     band = banded(percent)
     bands = BUCKETS // band
     powers = (np.arange(1, band + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-    t = (1 - percent / 100) / 2  # share of bits that differ at the threshold
-    for batch in by_bytes(batches, 2 << 20):
-        hashes, begin = shingle_sets(batch, 1, size)
-        n = np.diff(begin)
-        sums = np.r_[np.uint64(0), np.cumsum(mix(hashes ^ np.uint64(0xA0761D6478BD642F)), dtype=np.uint64)]
-        sets = mix(sums[begin[1:]] - sums[begin[:-1]] + n.astype(np.uint64))
-        sparse = registers(hashes, begin)
-        used = np.maximum((sparse != EMPTY).sum(1), 1)
-        differ = np.ceil(BUCKETS * (t + DEVIATIONS * np.sqrt(t * (1 - t) / used)))
-        regs = densified(sparse)
-        bits = np.packbits((regs & np.uint32(1)).astype(np.uint8), axis=1).view(np.int64)
-        keys = mix((mix(regs[:, : bands * band].reshape(-1, bands, band).astype(np.uint64) + np.uint64(1)) * powers).sum(2, dtype=np.uint64) + np.arange(bands, dtype=np.uint64))
-        listed = lambda x: pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.int64()))
-        columns = [batch.column(0), pa.array(sets.view(np.int64)), pa.array(n, pa.int64()), listed(keys.view(np.int64)), listed(bits), pa.array(differ, pa.int32()), listed(parities(hashes, begin))]
-        yield pa.RecordBatch.from_arrays(columns, ["id", "s", "n", "keys", "bits", "differ", "odd"])
+    for whole in by_bytes(batches, 2 << 20):
+        for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+            batch = whole.slice(at, ROWS_AT_ONCE)
+            hashes, begin = shingle_sets(batch, 1, size)
+            n = np.diff(begin)
+            sums = np.r_[np.uint64(0), np.cumsum(mix(hashes ^ np.uint64(0xA0761D6478BD642F)), dtype=np.uint64)]
+            sets = mix(sums[begin[1:]] - sums[begin[:-1]] + n.astype(np.uint64))
+            sparse = registers(hashes, begin)
+            regs = densified(sparse)
+            keys = mix((mix(regs[:, : bands * band].reshape(-1, bands, band).astype(np.uint64) + np.uint64(1)) * powers).sum(2, dtype=np.uint64) + np.arange(bands, dtype=np.uint64))
+            listed = lambda x: pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.int64()))
+            chance = np.interp(np.log2(np.maximum(n, 1)), SIZES, CHANCE)
+            columns = [batch.column(0), batch.column(2), pa.array(sets.view(np.int64)), pa.array(n, pa.int64()), listed(keys.view(np.int64)), listed(parities(hashes, begin)), listed(bit_planes(sparse)), pa.array(chance)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "t", "s", "n", "keys", "odd", "planes", "chance"])
 
 
 def confirmed(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -163,12 +198,30 @@ def confirmed(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Ite
         yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
 
-def close(left: str, right: str, percent: int) -> str:
-    """The condition that two sketches do not rule a link out: neither the bound by parities nor the estimate by ``bits`` and ``differ``."""
-    unequal = lambda name, longs: " + ".join(f"bit_count({left}.{name}[{i}] ^ {right}.{name}[{i}])" for i in range(longs))
-    # Linked sets of together S shingles differ in at most S (100 - t) / (100 + t) of them.
-    bound = f"{100 + percent} * ({unequal('odd', PARITIES // 64)}) <= {100 - percent} * ({left}.n + {right}.n)"
-    return f"{bound} and {unequal('bits', BUCKETS // 64)} <= greatest({left}.differ, {right}.differ)"
+def not_far(left: str, right: str, percent: int) -> str:
+    """The condition that parities do not rule a link out. Linked sets of together S shingles differ in at most S (100 - t) / (100 + t) of them."""
+    unequal = " + ".join(f"bit_count({left}.odd[{i}] ^ {right}.odd[{i}])" for i in range(PARITIES // 64))
+    return f"{100 + percent} * ({unequal}) <= {100 - percent} * ({left}.n + {right}.n)"
+
+
+def similar(left: str, right: str, percent: int) -> str:
+    """The condition that the estimate by registers is not clearly below the threshold."""
+    t, x, y = percent / 100, f"{left}.planes", f"{right}.planes"
+    unequal = lambda i: " | ".join(f"({x}[{LONGS * (p + 1) + i}] ^ {y}[{LONGS * (p + 1) + i}])" for p in range(PLANES))
+    either = " + ".join(f"bit_count({x}[{i}] | {y}[{i}])" for i in range(LONGS))
+    equal = " + ".join(f"bit_count({x}[{i}] & {y}[{i}] & ~({unequal(i)}))" for i in range(LONGS))
+    spread = f"{DEVIATIONS * (t * (1 - t)) ** 0.5} * sqrt(({either}) - {left}.chance * {right}.chance)"
+    return f"({equal}) - {left}.chance * {right}.chance >= {t} * (({either}) - {left}.chance * {right}.chance) - {spread}"
+
+
+def candidates(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Those of distinct pairs (a, b) of classes that sketches do not rule out: first by the short sketch, then by the registers."""
+    out = pairs
+    for columns, rule in (("n", "odd"), not_far), (("planes", "chance"), similar):
+        sketch = sketches.select("s", *columns)
+        both = out.select("a", "b").join(sketch.alias("x"), F.col("a") == F.col("x.s")).join(sketch.alias("y"), F.expr(f"b = y.s and {rule('x', 'y', percent)}"))
+        out = both.select("a", "b")
+    return out
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -180,43 +233,50 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
 
 def near_duplicates(docs: DataFrame, *, size: int = SHINGLE, percent: int = THRESHOLD_PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Id, ``n_shingles``, ``component_id`` (smallest id reachable) and ``kept`` of each row; sets of ``size``-word shingles are linked from a similarity of ``percent`` on."""
-    spark = docs.sparkSession
-    ship(spark)
-    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = d.schema["id"].dataType.simpleString()
-    sets = stored(d.mapInArrow(lambda x: described(x, size, percent), f"id {kind}, s long, n long, keys array<long>, bits array<long>, differ int, odd array<long>"), "sets")
+    ship(docs.sparkSession)
+    shelf = Shelf(docs.sparkSession, "near")
+    try:
+        return stored(_near_duplicates(docs, shelf, size, percent, id_col, text_col), "near-duplicates")
+    finally:
+        shelf.clear()
 
-    # Candidate keys that two classes or more share; of copies only one row takes part.
-    first = sets.filter("n > 0").groupBy("s").agg(F.min("id").alias("id"))
-    keys = sets.join(first, ["s", "id"], "left_semi").select("s", F.explode("keys").alias("key"))
-    group = W.partitionBy("key")
-    shared = keys.select("key", "s", F.min("s").over(group).alias("leader"), F.max("s").over(group).alias("last"))
-    shared = stored(shared.filter("leader != last").drop("last").distinct(), "shared")
-    needed = shared.select("s").distinct().join(first, "s")
-    sketches = stored(sets.select("id", "s", "n", "bits", "differ", "odd").join(needed, ["s", "id"], "left_semi").drop("id").dropDuplicates(["s"]), "sketches")
+
+def _near_duplicates(docs: DataFrame, shelf: Shelf, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("t"))
+    kind = d.schema["id"].dataType.simpleString()
+    sets = shelf.stored(d.mapInArrow(lambda x: described(x, size, percent), SKETCH.format(id=kind)), "sets")
+
+    # Candidate keys that two classes or more share; one row stands for its class, whatever copies it has.
+    row = lambda x: F.expr(f"s = {x}_s and t = {x}_t and id <=> {x}_id")
+    first = sets.filter("n > 0").groupBy("s").agg(F.min(F.struct("t", "id")).alias("r")).select(F.col("s").alias("r_s"), F.col("r.t").alias("r_t"), F.col("r.id").alias("r_id"))
+    keys = sets.join(first, row("r"), "left_semi").select("s", F.explode("keys").alias("key")).distinct()
+    leaders = keys.groupBy("key").agg(F.min("s").alias("leader"), F.max("s").alias("last")).filter("leader != last").drop("last")
+    shared = shelf.stored(keys.join(leaders, "key"), "shared")
+    needed = shelf.stored(shared.select("s").distinct().join(first, F.col("s") == F.col("r_s")).drop("r_s").withColumnRenamed("s", "of"), "needed")
+    one = lambda rows, *columns: rows.join(needed.withColumnsRenamed({"r_t": "n_t", "r_id": "n_id"}), F.expr("t = n_t and id <=> n_id"))
+    sketches = shelf.stored(one(sets).filter("s = of").select("s", "n", "odd", "planes", "chance").dropDuplicates(["s"]), "sketches")
+    texts = shelf.stored(one(d).select(F.col("of").alias("s"), "text").dropDuplicates(["s"]), "texts")
 
     with_leader = shared.filter("s != leader").select(F.col("leader").alias("a"), F.col("s").alias("b")).distinct()
-    with_leader = with_leader.join(sketches.alias("x"), F.col("a") == F.col("x.s")).join(sketches.alias("y"), F.expr(f"b = y.s and {close('x', 'y', percent)}")).select("a", "b")
-    with_leader = stored(with_leader, "pairs")
-    texts = stored(d.join(needed, "id").select("s", "text").dropDuplicates(["s"]), "texts")
-    links = stored(confirm(with_leader, texts, size, percent), "links")
-    label = components(links)
+    links = shelf.stored(confirm(shelf.stored(candidates(with_leader, sketches, percent), "pairs"), texts, size, percent), "links")
+    label = components(links, shelf)
 
     # What the leaders left apart: classes of one key in different components, held against each other.
     known = shared.join(label, F.col("s") == F.col("node"), "left").select("key", "s", "leader", F.coalesce("label", "s").alias("c"))
-    split = known.withColumn("lo", F.min("c").over(group)).withColumn("hi", F.max("c").over(group)).filter("lo != hi").select("key", "s", "leader", "c")
-    split = stored(split.join(sketches, "s"), "split")
-    both = F.expr(f"l.key = r.key and l.s < r.s and l.c != r.c and l.s != l.leader and {close('l', 'r', percent)}")
-    apart = stored(split.alias("l").join(split.alias("r"), both).select(F.col("l.s").alias("a"), F.col("r.s").alias("b")).distinct(), "pairs")
-    late = stored(confirm(apart, texts, size, percent), "links")
+    several = known.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select("key")
+    split = shelf.stored(known.join(several, "key", "left_semi").join(sketches.select("s", "n", "odd"), "s"), "split")
+    both = F.expr(f"l.key = r.key and l.s < r.s and l.c != r.c and l.s != l.leader and {not_far('l', 'r', percent)}")
+    apart = split.alias("l").join(split.alias("r"), both).select(F.col("l.s").alias("a"), F.col("r.s").alias("b")).distinct()
+    late = shelf.stored(confirm(shelf.stored(candidates(apart, sketches, percent), "pairs"), texts, size, percent), "links")
     if not late.isEmpty():
-        label = components(links.union(late))
+        label = components(links.union(late), shelf)
 
     # Only classes with copies or links have another smallest id than their own.
     classes = sets.filter("n > 0").groupBy("s").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
     classes = classes.join(label, F.col("s") == F.col("node"), "left").withColumn("label", F.coalesce("label", "s"))
     smallest = classes.groupBy("label").agg(F.min("id").alias("component"), F.sum("copies").alias("size")).filter("size > 1")
     moved = classes.join(smallest, "label").select("s", "component", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    rows = sets.select("id", "s", "n", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
+    rows = sets.select("id", "s", "n", F.pmod(F.xxhash64("id", "t"), F.lit(SALTS)).cast("int").alias("salt"))
     out = rows.join(moved, ["s", "salt"], "left").withColumn("component", F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id")))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
+    kept = F.when(F.col("component").isNull(), F.lit(True)).otherwise(F.coalesce(F.col("id") == F.col("component"), F.lit(False)))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), kept.alias("kept"))
