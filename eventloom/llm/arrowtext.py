@@ -22,6 +22,7 @@ def by_bytes(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES, text:
         starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
         for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
             yield batch.slice(int(a), int(b - a))
+    pa.default_memory_pool().release_unused()  # workers live on
 
 
 def raw(column: pa.Array) -> list[bytes]:

@@ -10,8 +10,9 @@ edges of their merge trees tell. Back-pointers from the end give the ids.
 Made for vocabularies with a word-end mark whose pre-tokenizer drops white space.
 
 Defined results: a null, empty or blank text has no ids and decodes to the empty
-text; repeated rows give repeated results; an empty table gives an empty result;
-columns other than the id and the text are not read.
+text; a very long text is handled by itself, word by word; repeated rows and rows
+without an id give a result each; an empty table gives an empty result; columns
+other than the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -31,10 +32,12 @@ from .common import ship
 
 #: Stands for the word-end mark inside the automaton: one character that no byte maps to.
 END = "\x00"
-#: Words that a worker remembers in each of two generations: the lately used ones stay.
-REMEMBERED = 350_000
-#: Token pairs whose compatibility a worker remembers; beyond it starts anew.
-PAIRS = 1_000_000
+#: Bytes of words and their tokens that a worker remembers in each of two generations: the lately used ones stay.
+REMEMBERED_BYTES = 32 << 20
+#: What Python needs for an entry besides the bytes of its strings.
+ENTRY_BYTES = 300
+#: Token pairs whose compatibility a worker remembers (about 100 bytes each); beyond it starts anew.
+PAIRS = 300_000
 NEVER = 1 << 60
 
 
@@ -85,6 +88,7 @@ class PrefixEncoder:
         self.automaton.make_automaton()
         self.known: dict[bytes, tuple[bytes, bytes]] = {}
         self.older: dict[bytes, tuple[bytes, bytes]] = {}
+        self.held = 0
 
     def edge(self, token: int, side: int) -> list[tuple[int, int]]:
         """The symbols at one edge (0 left, 1 right) while the token is being merged, first to last, each with the rank of the merge that ends it."""
@@ -167,12 +171,13 @@ class PrefixEncoder:
             ids = self.ids(word.decode())
             found = np.array(ids, np.int32).tobytes(), self.decode(ids).encode()
         self.known[word] = found
+        self.held += ENTRY_BYTES + len(word) + len(found[0]) + len(found[1])
         return found
 
     def forget(self) -> None:
         """Bounds what is remembered."""
-        if len(self.known) > REMEMBERED:
-            self.older, self.known = self.known, {}
+        if self.held > REMEMBERED_BYTES:
+            self.older, self.known, self.held = self.known, {}, 0
         if len(self.pairs) > PAIRS:
             self.pairs.clear()
 

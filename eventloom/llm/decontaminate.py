@@ -12,22 +12,27 @@ The remaining pairs are verified by exact containment of the shingles themselves
 Items shorter than a shingle are one shingle of all their words and are looked
 for as such among windows of their length.
 
-Defined results: null and blank texts and items match nothing; repeated item
-rows count once for an item id; repeated document rows give one row; an empty
-table gives an empty result; columns other than the ids and texts are not read.
+Defined results: null and blank texts and items match nothing; a very long text
+is one row like any other; repeated item rows count once for an item id, and the
+texts of rows that share an item id are one item; repeated document rows give one
+row; rows that share a document id are judged text by text, and a pair gets the
+most shared shingles of any; rows without an id are judged like others and
+reported under the null id, items without one too; an empty table gives an empty
+result; columns other than the ids and texts are not read.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import lower_ascii, stored, words
 
 SHINGLE = 5
 THRESHOLD_PERCENT = 80
-#: Item sketches of at most so many rows are broadcast (16 bytes each); larger sets are shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Items of at most so many shingles (about 60 bytes each) are broadcast; larger sets are shuffled.
+BROADCAST_ROWS = 300_000
 
 
 def windows(w: Column, size: int) -> Column:
@@ -35,10 +40,13 @@ def windows(w: Column, size: int) -> Column:
     return F.arrays_zip(*[F.slice(w, F.lit(i + 1), F.size(w)).alias(f"w{i}") for i in range(size)])
 
 
+def windows_of(words_col: str, size: int) -> Column:
+    return F.slice(windows(F.col(words_col), size), F.lit(1), F.greatest(F.size(words_col) - (size - 1), F.lit(0)))
+
+
 def shingles(d: DataFrame, key: list[str], size: int) -> DataFrame:
     """One row per shingle position with the ``size`` words in columns w0, w1, ..."""
-    cut = F.slice(windows(F.col("w"), size), F.lit(1), F.greatest(F.size("w") - (size - 1), F.lit(0)))
-    return d.select(*key, F.inline(cut))
+    return d.select(*key, F.inline(windows_of("w", size)))
 
 
 def _hash(size: int) -> Column:
@@ -51,7 +59,7 @@ def _joined(size: int) -> Column:
 
 def item_shingles(items: DataFrame, size: int, item_id: str, text_col: str) -> DataFrame:
     """item, n_words of its shingles (``len``), shingle text and hash, distinct."""
-    d = items.select(F.col(item_id).alias("item"), words(lower_ascii(F.col(text_col))).alias("w"))
+    d = items.select(F.struct(F.col(item_id).alias("id")).alias("item"), words(lower_ascii(F.col(text_col))).alias("w"))
     parts = []
     for n in range(1, size + 1):
         own = d.filter(F.size("w") >= size) if n == size else d.filter(F.size("w") == n)
@@ -83,9 +91,13 @@ def contaminated(docs: DataFrame, items: DataFrame, *, size: int = SHINGLE, perc
     of_items = stored(item_shingles(items, size, item_id, item_text), "item-shingles")
     sketch = stored(sketches(of_items, percent), "item-sketches")
     lengths = [r[0] for r in sketch.select("len").distinct().collect()]  # at most ``size`` numbers
-    if sketch.count() <= BROADCAST_ROWS:
-        sketch = F.broadcast(sketch)
-    d = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
+    # Per item its shingles of one length as one array; of_items is read again only for those.
+    whole = of_items.groupBy("item", "len").agg(F.collect_list("shingle").alias("shingles"))
+    n_item = of_items.groupBy("item").agg(F.count(F.lit(1)).alias("n_item"))
+    if of_items.count() <= BROADCAST_ROWS:  # the sketch has no more rows
+        sketch, whole, n_item = F.broadcast(sketch), F.broadcast(whole), F.broadcast(n_item)
+    # A row is known by its id and two hashes of its text, ids of items are wrapped too: keys are never null.
+    d = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.hash(text_col).alias("u")).alias("doc"), F.col(text_col).alias("text"))
     w = d.select("doc", words(lower_ascii(F.col("text"))).alias("w"))
     candidates = None
     for n in sorted(lengths):
@@ -96,18 +108,15 @@ def contaminated(docs: DataFrame, items: DataFrame, *, size: int = SHINGLE, perc
         found = found.select("doc", "item", F.lit(n).alias("len"))
         candidates = found if candidates is None else candidates.union(found)
     if candidates is None:
-        candidates = docs.sparkSession.createDataFrame([], f"doc {d.schema['doc'].dataType.simpleString()}, item {of_items.schema['item'].dataType.simpleString()}, len int")
+        kinds = d.schema["doc"].dataType, of_items.schema["item"].dataType
+        candidates = docs.sparkSession.createDataFrame([], StructType().add("doc", kinds[0]).add("item", kinds[1]).add("len", "integer"))
     candidates = stored(candidates, "candidates")
-    # Exact containment: the item's shingles themselves among those of the candidate documents.
-    texts = d.join(candidates.select("doc").distinct(), "doc").select("doc", words(lower_ascii(F.col("text"))).alias("w"))
-    exact = None
-    for n in sorted(lengths):
-        own = shingles(texts, ["doc"], n).select("doc", _joined(n).alias("shingle")).join(of_items.filter(F.col("len") == n), "shingle")
-        own = own.select("doc", "item", "shingle").distinct()
-        exact = own if exact is None else exact.union(own)
-    if exact is None:
-        exact = candidates.select("doc", "item", F.lit("").alias("shingle"))
-    n_item = of_items.groupBy("item").agg(F.count(F.lit(1)).alias("n_item"))
-    exact = exact.join(candidates.select("doc", "item").distinct(), ["doc", "item"]).groupBy("doc", "item").agg(F.count(F.lit(1)).alias("n_shared"))
+    # Exact containment: the shingles themselves, of each candidate document against each of its items. Each
+    # candidate is a row of its own, so no shingle, however frequent, gathers rows.
+    both = d.join(candidates.select("doc", "item").distinct(), "doc").join(whole, "item").withColumn("w", words(lower_ascii(F.col("text"))))
+    own = lambda n: F.transform(windows_of("w", n), lambda x: F.concat_ws(" ", *[x[f"w{i}"] for i in range(n)]))
+    held = F.coalesce(*[F.when(F.col("len") == n, own(n)) for n in range(1, size + 1)])
+    both = both.select("doc", "item", "len", F.size(F.array_intersect(held, F.col("shingles"))).cast("long").alias("n_shared")).distinct()
+    exact = both.groupBy("doc", "item").agg(F.sum("n_shared").alias("n_shared")).groupBy("doc.id", "item").agg(F.max("n_shared").alias("n_shared"))
     exact = exact.join(n_item, "item").filter(100 * F.col("n_shared") >= percent * F.col("n_item"))
-    return exact.select(F.col("doc").alias(id_col), F.col("item").alias(item_id), "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment"))
+    return exact.select(F.col("id").alias(id_col), F.col("item.id").alias(item_id), "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment"))

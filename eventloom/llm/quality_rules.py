@@ -1,7 +1,9 @@
 """Quality rules: a table of thresholds compiled into one projection of built-in functions.
 
 Defined results: a null, empty or blank text has no words, fails the base rule
-and is not kept; repeated rows give repeated results; an empty table gives an
+and is not kept; a very long text is one row like any other; repeated rows and
+rows without an id give a result each; lines are parted by \\n alone, so other
+line ends are characters of a line; an empty table gives an
 empty result; columns other than the id and the text are not read.
 """
 
@@ -51,7 +53,6 @@ BASE_MAX_REPEAT_PERCENT = 50
 
 def measured(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Id, the contract's counts and the metrics that the rules name."""
-    blank_line = f"^[{BLANKS}]*$"
     text = F.coalesce(F.col(text_col), F.lit(""))
     d = docs.select(F.col(id_col), text.alias("t")).select(id_col, "t", words(F.col("t")).alias("w"))
     d = d.select(
@@ -59,7 +60,7 @@ def measured(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
         "t",
         "w",
         F.size("w").alias("n"),
-        F.filter(F.split("t", "\n"), lambda x: ~x.rlike(blank_line)).alias("lines"),
+        F.filter(F.split("t", "\n"), lambda x: x.rlike(f"[^{BLANKS}]")).alias("lines"),
         F.array_join("w", "").alias("chars"),
     )
     # A 3-word window is a 64-bit hash of its words' hashes; equal hashes stand for equal windows.
@@ -89,7 +90,7 @@ def measured(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
         share(F.length("chars"), n).alias("mean_word_chars"),
         share(F.regexp_count("chars", F.lit("[#*$%&|<>]")), n).alias("symbols_per_word"),
         share(lines - F.size(F.array_distinct("lines")), lines).alias("dup_line_share"),
-        share(F.size(F.filter("lines", lambda x: x.rlike(f"(\\.\\.\\.|…)[{BLANKS}]*$"))), lines).alias("ellipsis_line_share"),
+        share(F.size(F.filter("lines", lambda x: x.rlike(f"(\\.\\.\\.|…)[{BLANKS}]*\\z"))), lines).alias("ellipsis_line_share"),
         share(F.size(F.filter("lines", lambda x: x.rlike(f"^[{BLANKS}]*[-*•]"))), lines).alias("bullet_line_share"),
         share(F.length("chars") - F.regexp_count("chars", F.lit(r"\P{L}")), F.length("chars")).alias("letter_share"),
         F.size(F.array_intersect("w", F.array(*map(F.lit, STOP_WORDS)))).alias("n_stop_words"),

@@ -7,7 +7,7 @@ Tokenizers that keep white space (byte-level and sentencepiece files) get whole
 texts.
 
 Defined results: a null or empty text has 0 bytes and 0 tokens; repeated rows
-give repeated results; an empty table gives an empty result; columns other than
+and rows without an id give a result each; an empty table gives an empty result; columns other than
 the id and the text are not read.
 """
 
@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 from .arrowtext import by_bytes, raw
 from .common import ship
 
-#: Words that a worker remembers in each of two generations: the lately used ones stay.
-REMEMBERED = 500_000
+#: Bytes of words that a worker remembers in each of two generations: the lately used ones stay.
+REMEMBERED_BYTES = 32 << 20
+#: What Python needs for an entry besides the bytes of the word.
+ENTRY_BYTES = 180
 #: Words that one call of the library encodes as one text, parted by a special token.
 JOINED = 1000
 
@@ -75,13 +77,15 @@ def counted(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
     encode, cut = lengths(path)
     known: dict[bytes, int] = {}
     older: dict[bytes, int] = {}
+    held = 0
     for batch in by_bytes(batches):
         texts = raw(batch.column(1))
         if cut:
             split = [t.split() for t in texts]
-            if len(known) > REMEMBERED:
-                older, known = known, {}
+            if held > REMEMBERED_BYTES:
+                older, known, held = known, {}, 0
             new = {w for ws in split for w in ws}.difference(known)
+            held += ENTRY_BYTES * len(new) + sum(map(len, new))
             known.update((w, older[w]) for w in new.intersection(older))
             if new := list(new.difference(known)):
                 known.update(zip(new, encode([w.decode() for w in new]), strict=True))

@@ -216,6 +216,23 @@ def test_decontamination(spark, docs, nothing):
     assert decontaminate.contaminated(nothing, items).count() == 0 and decontaminate.contaminated(docs, items.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [300_000, 0])
+def test_decontamination_without_ids(spark, broadcast, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", broadcast)
+    item = lambda k: " ".join(f"{k}item{i}" for i in range(12))
+    d = spark.createDataFrame([(None, "x " + item("a")), (None, item("b")), (None, None), (3, item("a") + " y"), (3, item("a")[:-10]), (3, "other"), (4, item("c")), (4, item("c"))], "doc_id long, text string")
+    items = spark.createDataFrame([(1, item("a")), (2, item("b")), (None, item("c")), (5, "a b"), (5, item("d"))], "item_id long, text string")
+    got = [(r.doc_id, r.item_id, r.n_shared, r.n_item) for r in decontaminate.contaminated(d, items).collect()]
+    assert sorted(got, key=str) == sorted([(None, 1, 8, 8), (None, 2, 8, 8), (3, 1, 8, 8), (4, None, 8, 8)], key=str)
+
+
+def test_quality_rules_line_ends(spark):
+    lines = ["\u0085\n\u0085\na b", "x\u2028\nx\u2028\nx", "\r\n\r\n a\r\n a\r", "a...\u0085\nb"]
+    d = spark.createDataFrame([(None, t) for t in lines], "doc_id long, text string")
+    got = quality_rules.measured(d).select("n_dup_lines", "ellipsis_line_share").collect()
+    assert sorted(map(tuple, got)) == sorted([(1, 0.0), (1, 0.0), (1, 0.0), (0, 0.0)])
+
+
 def shingles(t):
     w = WORD.findall((t or "").translate(LOWER))
     return set(zip(w, w[1:], w[2:], strict=False)) if len(w) > 2 else {tuple(w)} if w else set()
