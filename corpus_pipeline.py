@@ -2,8 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir); its result is written as Parquet and
 read again as the next one's ``docs``. All but the last return the columns of
-``docs``. Rows are told apart by keys of their own, so that rows that repeat,
-share an id or have none are judged one by one, by their texts alone.
+``docs``. Rows are told apart by id and text, so that rows that share an id or
+have none are judged one by one.
+
+Defined results: null and blank texts fail the quality rules; a stage by itself
+leaves them alone. Rows that repeat are one group of copies. A very long text is
+a row like any other; an empty table gives an empty result; other columns are
+carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -14,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.llm import bpe, decontaminate, near_dedup, quality_rules, substring_dedup
-from eventloom.llm.common import stored, table, vocabulary
+from eventloom.llm.common import WORD, stored, table, vocabulary
 
 
 #: Words of a shingle and similarity of near copies in the pipeline; those of op6 bind only that query.
@@ -27,17 +32,29 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.judged(rows, id_col="row").filter("kept").select("row.*")
 
 
+#: A list of rows to remove is broadcast up to so many (about 60 bytes each).
+BROADCAST_ROWS = 200_000
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """The rows as ``row`` with a number of their own, ``key``, written once, so that it is the same at each reading."""
-    return stored(docs.select(F.monotonically_increasing_id().alias("key"), F.struct("*").alias("row")), "keyed")
+    """The rows as ``row`` with ``key``: whether the id lacks, the id, and two hashes of the text."""
+    parts = [F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("t"), F.hash("text").alias("u")]
+    return docs.select(F.struct(*parts).alias("key"), F.struct("*").alias("row"), "text")
+
+
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    gone = stored(gone, "gone")
+    return rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "key", "left_anti")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates, that with the smallest id; rows without an id come last."""
     d = keyed(docs)
-    order = F.struct(F.col("row.doc_id").isNull().alias("no_id"), F.col("row.doc_id").alias("doc_id"), "key")
-    gone = near_dedup.near_duplicates(d.select(order.alias("doc_id"), "row.text"), size=NEAR_SHINGLE, percent=NEAR_PERCENT).filter("not kept").select("doc_id.key")
-    return d.join(gone, "key", "left_anti").select("row.*")
+    gone = near_dedup.near_duplicates(d.select(F.col("key").alias("doc_id"), "text"), size=NEAR_SHINGLE, percent=NEAR_PERCENT).filter("not kept")
+    left = without(d, gone.select(F.col("doc_id").alias("key")).distinct())
+    # Rows that repeat have one key. Texts without words are copies of nothing.
+    solid = F.coalesce(F.col("text"), F.lit("")).rlike(WORD)
+    return left.filter(solid).dropDuplicates(["key"]).select("row.*").union(left.filter(~solid).select("row.*"))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +70,8 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item."""
     d = keyed(docs)
-    gone = decontaminate.contaminated(d.select("key", "row.text"), table(spark, sf_dir, "benchmark"), id_col="key").select("key").distinct()
-    return d.join(gone, "key", "left_anti").select("row.*")
+    gone = decontaminate.contaminated(d.select("key", "text"), table(spark, sf_dir, "benchmark"), id_col="key").select("key").distinct()
+    return without(d, gone).select("row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

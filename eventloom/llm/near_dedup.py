@@ -64,6 +64,8 @@ DEVIATIONS = 6.0
 PARITIES = 512
 #: A class of copies is dealt over so many parts where its rows meet their component.
 SALTS = 16
+#: The list of rows whose texts are needed is broadcast up to so many (about 60 bytes each).
+BROADCAST_ROWS = 200_000
 EMPTY = np.uint16(0xFFFF)
 
 
@@ -162,28 +164,42 @@ def banded(percent: int) -> int:
     return max((band for band in range(1, BUCKETS + 1) if missed(band) < MISSED), default=1)
 
 
-SKETCH = "id {id}, t long, s long, n long, keys array<long>, odd array<long>, planes array<long>, chance double"
+SETS = "id {id}, t long, s long, n long, keys array<long>"
+SKETCHES = "s long, n long, odd array<long>, planes array<long>, chance double"
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in by_bytes(batches, 2 << 20):
+        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(at, ROWS_AT_ONCE)
+
+
+def listed(x: np.ndarray) -> pa.Array:
+    return pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.int64()))
 
 
 def described(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Id, text hash, set fingerprint, set size, band keys, parities, bit planes of the registers, and the root of the expected collisions."""
+    """Id, text hash, set fingerprint, set size and band keys."""
     band = banded(percent)
     bands = BUCKETS // band
     powers = (np.arange(1, band + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-    for whole in by_bytes(batches, 2 << 20):
-        for at in range(0, whole.num_rows, ROWS_AT_ONCE):
-            batch = whole.slice(at, ROWS_AT_ONCE)
-            hashes, begin = shingle_sets(batch, 1, size)
-            n = np.diff(begin)
-            sums = np.r_[np.uint64(0), np.cumsum(mix(hashes ^ np.uint64(0xA0761D6478BD642F)), dtype=np.uint64)]
-            sets = mix(sums[begin[1:]] - sums[begin[:-1]] + n.astype(np.uint64))
-            sparse = registers(hashes, begin)
-            regs = densified(sparse)
-            keys = mix((mix(regs[:, : bands * band].reshape(-1, bands, band).astype(np.uint64) + np.uint64(1)) * powers).sum(2, dtype=np.uint64) + np.arange(bands, dtype=np.uint64))
-            listed = lambda x: pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.int64()))
-            chance = np.interp(np.log2(np.maximum(n, 1)), SIZES, CHANCE)
-            columns = [batch.column(0), batch.column(2), pa.array(sets.view(np.int64)), pa.array(n, pa.int64()), listed(keys.view(np.int64)), listed(parities(hashes, begin)), listed(bit_planes(sparse)), pa.array(chance)]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "t", "s", "n", "keys", "odd", "planes", "chance"])
+    for batch in slices(batches):
+        hashes, begin = shingle_sets(batch, 1, size)
+        n = np.diff(begin)
+        sums = np.r_[np.uint64(0), np.cumsum(mix(hashes ^ np.uint64(0xA0761D6478BD642F)), dtype=np.uint64)]
+        sets = mix(sums[begin[1:]] - sums[begin[:-1]] + n.astype(np.uint64))
+        regs = densified(registers(hashes, begin))
+        keys = mix((mix(regs[:, : bands * band].reshape(-1, bands, band).astype(np.uint64) + np.uint64(1)) * powers).sum(2, dtype=np.uint64) + np.arange(bands, dtype=np.uint64))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sets.view(np.int64)), pa.array(n, pa.int64()), listed(keys.view(np.int64))], ["id", "t", "s", "n", "keys"])
+
+
+def sketched(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Set fingerprint, set size, parities, bit planes of the registers, and the root of the expected collisions."""
+    for batch in slices(batches):
+        hashes, begin = shingle_sets(batch, 1, size)
+        n = np.diff(begin)
+        chance = np.interp(np.log2(np.maximum(n, 1)), SIZES, CHANCE)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), listed(parities(hashes, begin)), listed(bit_planes(registers(hashes, begin))), pa.array(chance)], ["s", "n", "odd", "planes", "chance"])
 
 
 def confirmed(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -244,18 +260,17 @@ def near_duplicates(docs: DataFrame, *, size: int = SHINGLE, percent: int = THRE
 def _near_duplicates(docs: DataFrame, shelf: Shelf, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("t"))
     kind = d.schema["id"].dataType.simpleString()
-    sets = shelf.stored(d.mapInArrow(lambda x: described(x, size, percent), SKETCH.format(id=kind)), "sets")
+    sets = shelf.stored(d.mapInArrow(lambda x: described(x, size, percent), SETS.format(id=kind)), "sets")
 
     # Candidate keys that two classes or more share; one row stands for its class, whatever copies it has.
-    row = lambda x: F.expr(f"s = {x}_s and t = {x}_t and id <=> {x}_id")
-    first = sets.filter("n > 0").groupBy("s").agg(F.min(F.struct("t", "id")).alias("r")).select(F.col("s").alias("r_s"), F.col("r.t").alias("r_t"), F.col("r.id").alias("r_id"))
-    keys = sets.join(first, row("r"), "left_semi").select("s", F.explode("keys").alias("key")).distinct()
+    first = sets.filter("n > 0").groupBy("s").agg(F.min(F.struct("t", "id")).alias("r")).select(F.col("s").alias("of"), F.col("r.t").alias("of_t"), F.col("r.id").alias("of_id"))
+    keys = sets.join(first, F.expr("s = of and t = of_t and id <=> of_id"), "left_semi").select("s", F.explode("keys").alias("key"))
     leaders = keys.groupBy("key").agg(F.min("s").alias("leader"), F.max("s").alias("last")).filter("leader != last").drop("last")
-    shared = shelf.stored(keys.join(leaders, "key"), "shared")
-    needed = shelf.stored(shared.select("s").distinct().join(first, F.col("s") == F.col("r_s")).drop("r_s").withColumnRenamed("s", "of"), "needed")
-    one = lambda rows, *columns: rows.join(needed.withColumnsRenamed({"r_t": "n_t", "r_id": "n_id"}), F.expr("t = n_t and id <=> n_id"))
-    sketches = shelf.stored(one(sets).filter("s = of").select("s", "n", "odd", "planes", "chance").dropDuplicates(["s"]), "sketches")
-    texts = shelf.stored(one(d).select(F.col("of").alias("s"), "text").dropDuplicates(["s"]), "texts")
+    shared = shelf.stored(keys.join(leaders, "key").distinct(), "shared")
+    needed = shelf.stored(shared.select("s").distinct().join(first, F.col("s") == F.col("of")).drop("s"), "needed")
+    found = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed
+    texts = shelf.stored(d.join(found, F.expr("t = of_t and id <=> of_id")).select(F.col("of").alias("s"), "text").dropDuplicates(["s"]), "texts")
+    sketches = shelf.stored(texts.mapInArrow(lambda x: sketched(x, size), SKETCHES), "sketches")
 
     with_leader = shared.filter("s != leader").select(F.col("leader").alias("a"), F.col("s").alias("b")).distinct()
     links = shelf.stored(confirm(shelf.stored(candidates(with_leader, sketches, percent), "pairs"), texts, size, percent), "links")
