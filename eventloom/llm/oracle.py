@@ -59,4 +59,32 @@ SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment FROM
 WHERE 100 * n_shared >= 80 * n_item
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_quality_rules": OP2, "op5_decontamination": OP5}
+OP3 = """
+WITH d AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS n, coalesce(html, '') AS h, unhex(sha1(coalesce(html, '')))::BIT::VARCHAR AS b FROM pages
+), e AS (
+  SELECT page_id, n, min(page_id) OVER (PARTITION BY h) AS least,
+         array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(5), lambda j: (substr(b, 5 * i + j + 1, 1)::INT) << (4 - j)))::INT, 1)), '') AS digest
+  FROM d
+)
+SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> least THEN least END AS refers_to
+FROM e
+"""
+
+OP7 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), g AS (
+  SELECT r, p, array_to_string(w[p : p + 34], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS p FROM d WHERE len(w) >= 35)
+), twice AS (
+  SELECT r, p FROM (SELECT r, p, count(*) OVER (PARTITION BY s) AS c FROM g) WHERE c > 1
+), gone AS (
+  SELECT r, list(DISTINCT q) AS q FROM (SELECT r, unnest(range(p, p + 35)) AS q FROM twice) GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(q), 0)::BIGINT AS n_removed,
+       sha256(CASE WHEN q IS NULL THEN array_to_string(w, ' ') ELSE array_to_string(list_filter(w, lambda x, i: NOT list_contains(q, i)), ' ') END) AS kept_sha256
+FROM d LEFT JOIN gone USING (r)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_quality_rules": OP2, "op3_warc_converter": OP3, "op5_decontamination": OP5, "op7_substring_dedup": OP7}

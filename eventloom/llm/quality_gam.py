@@ -11,7 +11,9 @@ hashes of their ids); features of every text, labelled or not, come from whole
 texts in Spark tasks. Labels, language, source and ids are never features.
 
 Defined results: a null or empty text has zero features and a score like any
-other; labels that are null or repeated count as given rows (null: left out);
+other; a very long text is one row like any other; a row without an id has no
+label and is not held out; labels that are null are left out, repeated ones count
+as given rows within the bound;
 without a training label every score is 0.5; repeated rows give repeated
 results; an empty table gives an empty result; other columns are not read.
 """
@@ -157,7 +159,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> Additive:
     for _ in range(PAIR_ROUNDS):
         for (i, j), table in zip(pairs, pair_tables, strict=True):
             g, h = slope()
-            # A tree of two levels: the better side is split first, then each part along the other side.
+            # A tree of two levels: the first feature's side is split, then each part along the other side.
             cell = coarse[i] * table.shape[1] + coarse[j]
             gs, hs = (np.bincount(cell, v, table.size).reshape(table.shape) for v in (g, h))
             step = np.zeros(table.shape)
@@ -185,7 +187,9 @@ def trained(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, id_col:
     ship(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y")).filter((fold(F.col("id")) != 0) & F.col("y").isNotNull())
     chosen = known.orderBy(F.xxhash64("id"), "id", "y").limit(sample)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("y", "text")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    # Ids may repeat in either table: the bound holds for what trains, not only for the labels.
+    texts = texts.orderBy(F.xxhash64("id"), "id", "y", F.xxhash64("text")).limit(sample).select("y", "text")
     rows = texts.mapInArrow(_described, "y double, x array<double>").toArrow()
     x = np.asarray(rows.column("x").combine_chunks().flatten(), np.float64).reshape(-1, len(FEATURES))
     y = rows.column("y").to_numpy()

@@ -80,6 +80,19 @@ def test_classifier(spark, docs, nothing):
     assert {x.score for x in quality_gam.scored(docs, empty).collect()} == {0.5}
 
 
+def test_scores_are_sums_of_table_entries(spark, docs):
+    """Each score again, entry by entry, with plain Python."""
+    r = np.random.default_rng(2)
+    x = r.normal(size=(300, len(quality_gam.FEATURES)))
+    m = quality_gam.fit(x, (x[:, 0] + x[:, 1] * x[:, 2] > 0).astype(float))
+    for row, got in zip(x.tolist(), m.scores(x), strict=True):
+        bins = lambda cuts, j: sum(c <= row[j] for c in cuts[j])  # noqa: B023, E731
+        total = m.intercept + sum(t[bins(m.cuts, j)] for j, t in enumerate(m.tables)) + sum(t[bins(m.pair_cuts, i)][bins(m.pair_cuts, j)] for (i, j), t in zip(m.pairs, m.pair_tables, strict=True))
+        assert got == pytest.approx(1 / (1 + math.exp(-total)))
+    without = spark.createDataFrame([(None, "a b"), (None, None)], "doc_id long, text string")
+    assert [(q.held_out, 0 <= q.score <= 1) for q in quality_gam.scored(without, m).collect()] == [(False, True)] * 2
+
+
 def test_tables_are_what_is_added():
     x = np.random.default_rng(0).normal(size=(400, len(quality_gam.FEATURES)))
     y = ((x[:, 0] > 0) ^ (x[:, 1] > 0)).astype(float)  # only the pair tells
