@@ -358,6 +358,38 @@ def test_quotes(spark):
     assert {r.thread for r in chat_quotes.reply_ordered(chain).collect()} == {0}
 
 
+def test_reply_order_of_generated_threads(spark):
+    """Random trees of replies against a plain walk through them."""
+    r, rows, want, texts = random.Random(6), [], [], {}
+    for conv in range(12):
+        n, parent = r.choice([1, 2, 7, 40]), {}
+        body = lambda k: f"conversation {conv} says line {k}\nand more of {k}"  # noqa: B023, E731
+        for k in range(n):
+            parent[k] = r.choice([None, *range(max(0, k - 4), k)]) if k and conv else k - 1 if k else None
+            quote = "" if parent[k] is None else "".join(f"> {x}\n" for x in body(parent[k]).upper().split("\n"))
+            rows.append((conv, k, "u", quote + body(k)))
+        children = collections.defaultdict(list)
+        for k, p in parent.items():
+            children[p].append(k)
+
+        def walk(k, root, depth, seen):
+            want.append((conv, k, parent[k], root, len(seen), depth))  # noqa: B023
+            seen.append(k)
+            for c in children[k]:  # noqa: B023
+                walk(c, root, depth + 1, seen)
+            return seen
+
+        for root in children[None]:
+            seen = walk(root, root, 0, [])
+            for part in range(0, len(seen), 3):
+                texts[conv, root, part // 3] = "\n\n".join(f"<|u|>\n{body(k)}" for k in seen[part : part + 3])
+    r.shuffle(rows)
+    out = chat_quotes.reply_ordered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = [(x.conv_id, x.turn, x.parent_turn, x.thread, x.position, x.depth) for x in out.collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert {(x.conv_id, x.thread, x.part): x.text for x in chat_quotes.assembled(out, messages_of_a_part=3).collect()} == texts
+
+
 def plain_scores(tokens, train):
     """The model by its formulas, with dictionaries."""
     D, counts, weights = lm.DISCOUNT, [collections.Counter() for _ in range(4)], [None, None, {}, {}]
