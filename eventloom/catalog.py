@@ -74,13 +74,13 @@ class Catalog:
 
 
 def suggestion(name: str, known: list[str]) -> str | None:
-    """A known name that differs in one letter more or less, or in one or two letters."""
+    """A known name that differs in letter case, in one letter more or less, in one other letter, or, from six letters on, in two."""
 
     def near(a: str, b: str) -> bool:
         if len(a) == len(b):
-            return 0 < sum(x != y for x, y in zip(a, b, strict=True)) <= 2
+            return sum(x != y for x, y in zip(a, b, strict=True)) <= (1 if len(a) < 6 else 2)
         short, long = sorted((a, b), key=len)
         letters = iter(long)
         return len(long) - len(short) == 1 and all(c in letters for c in short)
 
-    return next((k for k in known if near(name.lower(), k.lower())), None)
+    return next((k for k in known if k != name and near(name.lower(), k.lower())), None)

@@ -8,6 +8,7 @@ gives where it differs from their long-standing behaviour, the default.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -52,6 +53,13 @@ def nothing(kind: str) -> Column:
     return F.max(F.lit(None).cast(kind))
 
 
+def whole_sum(v: Column) -> Column:
+    """The sum of whole numbers in 64 bits, which starts over where it would be too large."""
+    half, turn = F.lit(Decimal(1 << 63)), F.lit(Decimal(1 << 64))
+    total = F.sum(v.cast("decimal(19,0)"))
+    return (F.pmod(total + half, turn) - half).cast("long")
+
+
 def average(x: Value, documented: bool) -> Column:
     if not x.numeric:
         return nothing("double")
@@ -128,7 +136,9 @@ def aggregate(name: str, x: Value, documented: bool = False) -> Column:
         found = F.stddev_pop(F.when(x.finite, x.v.cast("double")))
         return found.cast("long") if x.timespan else found
     if name == "sum":
-        return F.sum(F.when(x.finite, x.v)) if x.numeric else nothing("long")
+        if not x.numeric:
+            return nothing("long")
+        return whole_sum(F.when(x.finite, x.v)) if isinstance(x.kind, T.IntegralType) else F.sum(F.when(x.finite, x.v))
     if name == "unique":
         key = x.key if x.key is not None else x.v
         missing = F.max(F.when(x.has & x.v.isNull(), F.lit(1)).otherwise(F.lit(0)))

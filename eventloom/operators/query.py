@@ -8,6 +8,7 @@ carry which aliases they belong to.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -328,7 +329,7 @@ def _finished(r: Resolver, out: DataFrame, columns: list[Col], hidden: list[Col]
     for c in columns:
         fields = r.fields(c.field)
         m = dict(next(iter(fields.values())).metadata) if c.fn not in ("count", "unique", "list") else {}
-        m["label"] = c.label or aggregates.LABELS[c.fn] + (m.get("label") or ("" if c.fn == "count" else _title(c.field)))
+        m["label"] = c.label or aggregates.LABELS[c.fn] + (m.get("label") or ("" if c.fn == "count" else _title(c.field, any("duration" in s.event.df.columns for s in r.sources))))
         if c.missing is not None:
             m["missing"] = c.missing
         meta[c.name] = m
@@ -353,9 +354,17 @@ def _finished(r: Resolver, out: DataFrame, columns: list[Col], hidden: list[Col]
     return out.select(*shown)
 
 
-def _title(field: str) -> str:
-    words = "".join(f" {c}" if c.isupper() else c for c in field.rsplit(".", 1)[-1])
-    return words[:1].upper() + words[1:]
+#: Words of a label that are written in capitals.
+ACRONYMS = {"Cpu", "Gc", "Id", "Io", "Jvm", "Os", "Pid"}
+
+
+def _title(field: str, timed: bool = True) -> str:
+    """A label made of a field's name: ``gcId`` is GC ID. The start of what has no duration (not ``timed``) is just its time."""
+    name = field.rsplit(".", 1)[-1]
+    if name == "startTime" and not timed:
+        return "Time"
+    words = re.sub(r"(?<=[a-z0-9])(?=[A-Z])", " ", name[:1].upper() + name[1:]).split(" ")
+    return " ".join(w.upper() if w in ACRONYMS else w for w in words)
 
 
 def _sorting(r: Resolver, out: DataFrame, columns: list[Col], meta: dict, grouped: bool) -> list[Column]:

@@ -184,3 +184,20 @@ def test_settings_pivot(spark):
     c.add(EventType("jdk.ActiveSetting", spark.createDataFrame(rows, "seq int, startTime timestamp, id long, name string, value string"), ("startTime", "seq"), "startTime"))
     r = view(c, "active-settings").first()
     assert (r.last_batch_E_value, r.last_batch_T_value, r.last_batch_S_value, r.last_batch_C_value) == ("true", "20 ms", None, "0")
+
+
+def test_labels_and_suggestions():
+    from eventloom.catalog import suggestion
+    from eventloom.operators.query import _title
+
+    assert [_title(x) for x in ("gcId", "compilerId", "a.heapUsed", "startTime")] == ["GC ID", "Compiler ID", "Heap Used", "Start Time"] and _title("startTime", False) == "Time"
+    assert suggestion("abcd", ["abxy"]) is None and suggestion("abcd", ["abcx"]) == "abcx" and suggestion("abcdefg", ["abcdexy"]) == "abcdexy"
+    assert suggestion("filread", ["FileRead"]) == "FileRead" and suggestion("fileread", ["FileRead"]) == "FileRead" and suggestion("gc", ["heap"]) is None
+
+
+def test_sums_of_whole_numbers_start_over(spark):
+    c = Catalog()
+    rows = [(1, 0, 2**63 - 1), (2, 0, 2), (3, 1, -(2**63)), (4, 1, -1), (5, 2, None), (6, 3, 7)]
+    c.add(EventType("app.A", spark.createDataFrame(rows, "id long, k long, v long"), ("id",)))
+    got = run(c, EventQuery([From("A")], [Col("k"), Col("v", "sum", "s")], group=["k"])).collect()
+    assert {r.k: r.s for r in got} == {0: -(2**63) + 1, 1: 2**63 - 1, 2: None, 3: 7}
