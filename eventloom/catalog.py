@@ -19,7 +19,7 @@ class QueryError(ValueError):
 
 @dataclass(frozen=True)
 class EventType:
-    """``order`` lists columns that together order all rows of the type; ``start`` and ``end`` are timestamp columns, if any."""
+    """``order`` lists columns that together order all rows of the type; ``start`` and ``end`` are timestamp columns, ``id`` the number that settings name the type by, if any."""
 
     name: str
     df: DataFrame
@@ -28,6 +28,7 @@ class EventType:
     end: str | None = None
     label: str = ""
     experimental: bool = False
+    id: int | None = None
 
     def __post_init__(self) -> None:
         if not self.label:

@@ -33,7 +33,6 @@ class Value:
     ord: Column
     timespan: bool = False
     key: Column | None = None
-    rank: str | None = None  # columns rank and size of the finite values within the group, for quantiles
 
     @property
     def numeric(self) -> bool:
@@ -85,20 +84,31 @@ def difference(x: Value, documented: bool) -> Column:
     return (last.cast(wide) - first.cast(wide)).cast(wide)
 
 
-def quantile(x: Value, p: float, documented: bool) -> Column:
-    """By ranks: with d = (n + 1) p and s the finite values in order, s[i] + (d - i)(s[i + 1] - s[i]) for i = floor(d) - 1, counted from 0.
+def ranks(name: str, documented: bool) -> tuple[Column, Column]:
+    """The two ranks, counted from 1, between whose values a median or quantile lies, for ``size`` values in order."""
+    n = F.col("size")
+    if name == "median":
+        return F.floor((n + 1) / 2), F.floor(n / 2) + 1
+    own = F.floor((n + 1) * F.lit(probability(name, documented)))
+    return own, own + 1
+
+
+def probability(name: str, documented: bool) -> float:
+    return 0.999 if documented and name == "p999" else QUANTILES[name]
+
+
+def between(name: str, low: Column, high: Column, size: Column, timespan: bool, documented: bool) -> Column:
+    """The median or quantile from the values at its ranks: with d = (n + 1) p, low + (d - i)(high - low) for i = floor(d) - 1.
 
     That fraction lies between 1 and 2; the documented one is d - floor(d).
     """
-    rank, n = F.col(f"{x.rank}.rank"), F.max(F.col(f"{x.rank}.size"))
-    d = (n + 1) * F.lit(p)
-    own = F.floor((F.col(f"{x.rank}.size") + 1) * F.lit(p))
-    at = lambda place: F.max(F.when(x.finite & (rank == place), x.v.cast("double")))
-    low, high = at(own), at(own + 1)
-    least, most = F.min(F.when(x.finite, x.v.cast("double"))), F.max(F.when(x.finite, x.v.cast("double")))
-    share = d - F.floor(d) + (0 if documented else 1)
-    found = F.when(n == 1, most).when(F.floor(d) < 1, least).when(F.floor(d) >= n, most).otherwise(low + share * (high - low))
-    return found.cast("long") if x.timespan else found
+    if name == "median":
+        found = F.when(low == high, low).otherwise(low * 0.5 + high * 0.5)
+    else:
+        d = (size + 1) * F.lit(probability(name, documented))
+        share = d - F.floor(d) + (0 if documented else 1)
+        found = F.when(low == high, low).otherwise(low + share * (high - low))
+    return found.cast("long") if timespan else found
 
 
 def aggregate(name: str, x: Value, documented: bool = False) -> Column:
@@ -123,13 +133,8 @@ def aggregate(name: str, x: Value, documented: bool = False) -> Column:
     if name in ("max", "min"):
         ordered = x.numeric or isinstance(x.kind, (T.StringType, T.BooleanType, T.TimestampType, T.TimestampNTZType, T.DateType))
         return (F.max if name == "max" else F.min)(fed) if ordered else nothing("string")
-    if name == "median":
-        if not x.numeric:
-            return nothing("double")
-        found = F.percentile(F.when(x.finite if documented else x.has, x.v), F.lit(0.5))
-        return found.cast("long") if x.timespan else found
-    if name in QUANTILES:
-        return quantile(x, 0.999 if documented and name == "p999" else QUANTILES[name], documented) if x.numeric else nothing("double")
+    if name == "median" or name in QUANTILES:  # those of numbers are found by rank
+        return nothing("double")
     if name == "stdev":
         if not x.numeric:
             return nothing("double")

@@ -98,8 +98,11 @@ def class_name(c: Column) -> Column:
     return F.when(dimensions > 0, F.concat(plain, F.repeat(F.lit("[]"), dimensions))).otherwise(c)
 
 
-def method(c: Column) -> Column:
-    """``Class.name(Type, Type)`` with simple parameter names."""
+def method(c: Column, compact: bool = False) -> Column:
+    """``Class.name(Type, Type)`` with simple parameter names; compact: three dots for the parameters."""
+    if compact:
+        inside = F.when(c["descriptor"].startswith("()"), F.lit("")).otherwise(F.lit("..."))
+        return F.concat(c["type"]["name"], F.lit("."), c["name"], F.lit("("), inside, F.lit(")"))
     inner = F.regexp_extract(c["descriptor"], r"^\((.*)\)", 1)
     tokens = F.regexp_extract_all(inner, F.lit(r"(\[*(?:[BCDFIJSZ]|L[^;]*;))"), F.lit(1))
     # One dimension more makes every descriptor an array one; it is taken off again.
@@ -111,32 +114,45 @@ def thread(c: Column) -> Column:
     return F.when(c["javaThreadId"] > 0, c["javaName"]).otherwise(c["osName"])
 
 
-def frame(c: Column) -> Column:
-    java = c["type"].isin("Interpreted", "JIT compiled", "Inlined")
-    return F.when(java, method(c["method"])).otherwise(F.lit("<unknown>"))
+def in_java(c: Column) -> Column:
+    return c["type"].isin("Interpreted", "JIT compiled", "Inlined")
 
 
-def recorded(c: Column, kind: T.DataType) -> Column | None:
-    """Text of a recorded object, told by its fields; None for other structs."""
+def frame(c: Column, compact: bool = False) -> Column:
+    return F.when(in_java(c), method(c["method"], compact)).otherwise(F.lit("<unknown>"))
+
+
+def is_stack(kind: T.DataType) -> bool:
+    return isinstance(kind, T.StructType) and {"truncated", "frames"} <= set(kind.names)
+
+
+def stack_lines(c: Column, height: int, compact: bool = False) -> Column:
+    """The methods of the first ``height`` frames, without those that are not Java's."""
+    return F.transform(F.filter(F.slice(c["frames"], 1, height), in_java), lambda f: method(f["method"], compact))
+
+
+def recorded(c: Column, kind: T.DataType, compact: bool = False) -> Column | None:
+    """Text of a recorded object, told by its fields; None for other structs. Compact texts are for cells that the whole one doesn't fit."""
     names = set(kind.names) if isinstance(kind, T.StructType) else set()
+    named = lambda x: F.regexp_replace(class_name(x), r"^.*\.", "") if compact else class_name(x)
     if {"javaName", "osName", "javaThreadId"} <= names:
         return thread(c)
     if {"truncated", "frames"} <= names:
-        return frame(F.get(c["frames"], 0))
+        return frame(F.get(c["frames"], 0), compact)
     if {"method", "lineNumber"} <= names:
-        return frame(c)
+        return frame(c, compact)
     if {"descriptor", "type", "name"} <= names:
-        return method(c)
+        return method(c, compact)
     if {"name", "classLoader"} <= names:
-        return class_name(c["name"])
+        return named(c["name"])
     if {"name", "typeName"} <= names:
-        return class_name(c["typeName"])
+        return named(c["typeName"])
     if {"name", "parentName"} <= names:
         return c["name"]
     return None
 
 
-def display_text(c: Column, kind: T.DataType, metadata: dict | None = None) -> Column:
+def display_text(c: Column, kind: T.DataType, metadata: dict | None = None, compact: bool = False) -> Column:
     """The text of any value by its type and metadata; null and the "no value" numbers give the missing text."""
     meta = metadata or {}
     what, rate, missing = meta.get("kind"), bool(meta.get("rate")), F.lit(meta.get("missing", MISSING))
@@ -144,7 +160,7 @@ def display_text(c: Column, kind: T.DataType, metadata: dict | None = None) -> C
     if isinstance(kind, T.StringType):
         return F.when(none, missing).otherwise(one_line(c))
     if isinstance(kind, T.StructType):
-        text = recorded(c, kind)
+        text = recorded(c, kind, compact)
         return F.coalesce(text if text is not None else c.cast("string"), missing)
     if isinstance(kind, (T.DoubleType, T.FloatType)):
         none = none | F.isnan(c) | (c == float("-inf"))

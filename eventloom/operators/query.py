@@ -14,12 +14,12 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..catalog import Catalog, EventType, QueryError, suggestion
 from ..functions import aggregates, display, recorded
+from .quantiles import at_ranks
 
 
 @dataclass(frozen=True)
@@ -36,7 +36,8 @@ class Col:
 
     A field may be ``path``, ``Alias.path``, ``Type.path``, ``[A|B].path`` or
     ``*`` (the start time). ``share`` adds the value's share of the total of all
-    rows as a further column; ``missing`` is the text for null.
+    rows as a further column, which stands for the value in reports; ``missing`` is the text for null,
+    ``height`` the lines of a cell.
     """
 
     field: str
@@ -45,6 +46,7 @@ class Col:
     label: str | None = None
     share: bool = False
     missing: str | None = None
+    height: int = 1
 
     @property
     def name(self) -> str:
@@ -88,8 +90,11 @@ class Field:
         return display.display_text(self.value, self.kind, self.metadata)
 
 
-def field_of(event: EventType, path: str) -> Field | None:
-    """The column of a path, with the fields that every type has and those that stacks give."""
+def field_of(event: EventType, path: str, type_labels: dict[int, str] | None = None) -> Field | None:
+    """The column of a path, with the fields that every type has and those that stacks give; a setting's id is the label of its type."""
+    if path == "id" and event.name == "jdk.ActiveSetting" and type_labels and event.type_of(path) is not None:
+        known = F.create_map(*[F.lit(x) for pair in sorted(type_labels.items()) for x in pair])
+        return Field(F.try_element_at(known, F.col(path).cast("long")), T.StringType(), {"label": "Event Type"})
     if path in ("eventType.label", "eventType.name"):
         return Field(F.lit(event.label if path.endswith("label") else event.name), T.StringType(), {})
     for name, column in (("startTime", event.start), ("endTime", event.end or event.start)):
@@ -114,6 +119,7 @@ class Resolver:
                 raise QueryError(f"{f.type} names {len(types)} event types; an alias needs one")
             self.sources += [Source(len(self.sources) + i, t, f.alias) for i, t in enumerate(types)]
         self.aliases = {c.alias: c for c in query.columns or () if c.alias}
+        self.type_labels = {t.id: t.label for t in catalog.types.values() if t.id is not None}
 
     def sources_of(self, name: str) -> tuple[list[Source], str]:
         """The sources that a field name may mean, and the path within them."""
@@ -133,7 +139,7 @@ class Resolver:
 
     def fields(self, name: str, required: bool = True) -> dict[int, Field]:
         sources, path = self.sources_of(name)
-        found = {s.index: f for s in sources if (f := field_of(s.event, path))}
+        found = {s.index: f for s in sources if (f := field_of(s.event, path, self.type_labels))}
         if not found and path == "startTime":  # rows of types without a time still count
             found = {s.index: Field(F.lit(None).cast("timestamp"), T.TimestampType(), {}) for s in sources}
         if not found and required:
@@ -301,16 +307,14 @@ def _grouped(r: Resolver, columns: list[Col]) -> DataFrame:
         meta = next(iter(fields.values())).metadata
         kind = common[i][0]
         key = recorded.group_key(F.col(f"v{i}"), kind) if c.fn == "unique" and isinstance(kind, T.StructType) else None
-        values.append(aggregates.Value(F.col(f"v{i}"), kind, F.col(f"has{i}"), F.col("ord"), meta.get("kind") == "timespan", key, f"r{i}" if c.fn in aggregates.QUANTILES and isinstance(kind, T.NumericType) else None))
-    for x in values:
-        if x.rank:  # ranks of the finite values within their group
-            place = F.row_number().over(W.partitionBy(*group).orderBy(F.when(x.finite, F.lit(0)).otherwise(F.lit(1)), x.v))
-            size = F.count(F.when(x.finite, F.lit(1))).over(W.partitionBy(*group))
-            rows = rows.withColumn(x.rank, F.struct(place.alias("rank"), size.alias("size")))
+        values.append(aggregates.Value(F.col(f"v{i}"), kind, F.col(f"has{i}"), F.col("ord"), meta.get("kind") == "timespan", key))
+    ranked = {i for i, (c, x) in enumerate(zip(columns, values, strict=True)) if x.numeric and (c.fn == "median" or c.fn in aggregates.QUANTILES)}
     batches = [i for i, c in enumerate(columns) if c.fn == "last_batch"]
-    totals = [aggregates.aggregate(c.fn, x, documented).alias(c.name) for c, x in zip(columns, values, strict=True)]
+    totals = [aggregates.aggregate(c.fn, x, documented).alias(c.name) for i, (c, x) in enumerate(zip(columns, values, strict=True)) if i not in ranked]
     totals += [F.max(F.when(F.col(f"has{i}"), F.col("end"))).alias(f"__end{i}") for i in batches]
-    out = rows.groupBy(*group).agg(*totals)
+    out = rows.groupBy(*group).agg(*totals) if totals else rows.select(*group).distinct()
+    if ranked:
+        out = _with_quantiles(rows, out, group, columns, values, ranked, documented)
     if batches:  # one row of maxima
         last = F.broadcast(out.agg(*[F.max(f"__end{i}").alias(f"__last{i}") for i in batches]))
         same = [F.col(f"__end{i}").isNull() | (F.col(f"__end{i}") == F.col(f"__last{i}")) for i in batches]
@@ -318,6 +322,23 @@ def _grouped(r: Resolver, columns: list[Col]) -> DataFrame:
     return out
 
 
+def _with_quantiles(rows: DataFrame, out: DataFrame, group: list[str], columns: list[Col], values: list[aggregates.Value], ranked: set[int], documented: bool) -> DataFrame:
+    """``out`` with its medians and quantiles; those of one field are found together."""
+    passes: dict[tuple[str, bool], list[int]] = {}
+    for i in sorted(ranked):
+        finite = documented or columns[i].fn != "median" or not values[i].fractional
+        passes.setdefault((columns[i].field, finite), []).append(i)
+    for (_, finite), members in passes.items():
+        x = values[members[0]]
+        kept = rows.where(x.finite if finite else x.has & x.v.isNotNull()).withColumn("v", x.v)
+        found = at_ranks(kept, group, "v", {f"q{i}": aggregates.ranks(columns[i].fn, documented) for i in members})
+        shown = [aggregates.between(columns[i].fn, F.col(f"q{i}_low"), F.col(f"q{i}_high"), F.col("size"), values[i].timespan, documented).alias(columns[i].name) for i in members]
+        found = found.select(*[F.col(g).alias(f"found_{g}") for g in group], *shown)
+        same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"found_{g}")) for g in group])
+        out = out.join(found, same, "left").drop(*[f"found_{g}" for g in group])
+    return out
+
+
 def _directed(c: Column, direction: str) -> Column:
     """Nulls come last either way."""
     return c.desc_nulls_last() if direction == "desc" else c.asc_nulls_last()
@@ -332,6 +353,10 @@ def _finished(r: Resolver, out: DataFrame, columns: list[Col], hidden: list[Col]
         m["label"] = c.label or aggregates.LABELS[c.fn] + (m.get("label") or ("" if c.fn == "count" else _title(c.field, any("duration" in s.event.df.columns for s in r.sources))))
         if c.missing is not None:
             m["missing"] = c.missing
+        if c.height > 1:
+            m["height"] = c.height
+        if c.share:
+            m["only_share"] = True
         meta[c.name] = m
     shares = [c for c in columns if c.share]
     if shares:  # totals over all rows, before any limit: one row
