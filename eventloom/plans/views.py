@@ -2,20 +2,23 @@
 
 Each view is one line of VIEWS: name; ``form`` where one record is shown as a
 list; sources with aliases; columns as ``fn field = alias`` (no fn: plain);
-group keys; and a tail of filters, order, limit and shares. The sets of columns,
-keys and filters are fixed values.
+group keys; and a tail of filters, order, limit and shares. HEADINGS has what a
+report says above a view and its columns, and how it shows null and long cells.
+The sets of columns, keys and filters, the headings and the formats are fixed values.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 
 from ..catalog import Catalog, QueryError
 from ..functions.aggregates import NAMES
+from ..operators.listing import show_events
 from ..operators.query import Col, EventQuery, From, run
+from ..render import form, table
 
 # name | kind | sources | columns | keys | where | order | limit | shares
 VIEWS = """
@@ -95,12 +98,91 @@ application.thread-start|table|ThreadStart S, ThreadEnd E|S.startTime, S.stackTr
 jvm.vm-operations|table|jdk.ExecuteVMOperation|operation, avg duration, max duration, count *, sum duration|operation
 """
 
+# name | title | headers (none: labels of the fields) | formats, where any
+HEADINGS = """
+active-recordings|Active Recordings|Start, Duration, Name, Destination, Max Age, Max Size|none, none, none, cell-height:5, none, none
+active-settings|Active Settings|Event Type, Enabled, Threshold, Stack Trace, Period, Cutoff, Throttle|none, missing:, missing:, missing:, missing:, missing:, missing:
+allocation-by-class|Allocation by Class|Object Type, Allocation Pressure
+allocation-by-thread|Allocation by Thread|Thread, Allocation Pressure
+allocation-by-site|Allocation by Site|Method, Allocation Pressure
+class-loaders|Class Loaders||missing:null-bootstrap, none, none
+class-modifications|Class Modifications|Time, Requested By, Operation, Classes
+compiler-configuration|Compiler Configuration
+compiler-statistics|Compiler Statistics
+compiler-phases|Concurrent Compiler Phases|Level, Phase, Average, P95, Longest, Count, Total
+container-configuration|Container Configuration
+container-cpu-usage|Container CPU Usage
+container-memory-usage|Container Memory Usage
+container-io-usage|Container I/O Usage
+container-cpu-throttling|Container CPU Throttling
+contention-by-thread|Contention by Thread|Thread, Count, Avg, P90, Max.
+contention-by-class|Contention by Lock Class|Lock Class, Count, Avg., P90, Max.
+contention-by-site|Contention by Site|StackTrace, Count, Avg., Max.
+contention-by-address|Contention by Monitor Address|Monitor Address, Class, Threads, Max Duration
+cpu-information|CPU Information
+cpu-load|CPU Load Statistics|JVM User (Minimum), JVM User (Average), JVM User (Maximum), JVM System (Minimum), JVM System (Average), JVM System (Maximum), Machine Total (Minimum), Machine Total (Average), Machine Total (Maximum)
+cpu-load-samples|CPU Load
+cpu-tsc|CPU Time Stamp Counter
+deoptimizations-by-reason|Deoptimization by Reason
+deoptimizations-by-site|Deoptimization by Site
+events-by-count|Event Types by Count
+events-by-name|Event Types by Name
+environment-variables|Environment Variables||none, cell-height:20
+exception-count|Exception Statistics|Exceptions Thrown
+exception-by-type|Exceptions by Type|Class, Count
+exception-by-message|Exceptions by Message|Message, Count
+exception-by-site|Exceptions by Site|Method, Count
+file-reads-by-path|File Reads by Path|Path, Reads, Total Read|cell-height:5, none, none
+file-writes-by-path|File Writes by Path|Path, Writes, Total Written|cell-height:5, none, none
+finalizers|Finalizers
+gc|Garbage Collections|Start, GC ID, Type, Heap Before GC, Heap After GC, Longest Pause|none, none, missing:Unknown, none, none, none
+gc-concurrent-phases|Concurrent GC Phases|Name, Average, P95, Longest, Count, Total
+gc-configuration|GC Configuration|Young GC, Old GC, Parallel GC Threads, Concurrent GC Threads, Dynamic GC Threads, Concurrent Explicit GC, Disable Explicit GC, Pause Target, GC Time Ratio
+gc-references|GC References|Time, GC ID, Soft Ref., Weak Ref., Phantom Ref., Final Ref., Total Count
+gc-pause-phases|GC Pause Phases|Type, Name, Average, P95, Longest, Count, Total
+gc-pauses|GC Pauses|Total Pause Time, Number of Pauses, Minimum Pause Time, Median Pause Time, Average Pause Time, P90 Pause Time, P95 Pause Time, P99 Pause Time, P99.9% Pause Time, Maximum Pause Time
+gc-allocation-trigger|GC Allocation Trigger|Trigger Method (Non-JDK), Count, Total Requested
+gc-cpu-time|GC CPU Time|GC User Time, GC System Time, GC Wall Clock Time, Total Time, GC Count
+heap-configuration|Heap Configuration
+hot-methods|Java Methods that Executes the Most|Method, Samples, Percent
+jvm-flags|Command Line Flags
+jvm-information|JVM Information|PID, VM Start, Name, Version, VM Arguments, Program Arguments
+latencies-by-type|Latencies by Type|Event Type, Count, Average, P 99, Longest, Total
+memory-leaks-by-class|Memory Leak Candidates by Class|Alloc. Time, Object Class, Object Age, Heap Usage
+memory-leaks-by-site|Memory Leak Candidates by Site|Alloc. Time, Application Method, Object Age, Heap Usage
+modules|Modules
+monitor-inflation|Monitor Inflation
+native-libraries|Native Libraries||cell-height:2, none, none
+native-memory-committed|Native Memory Committed|Memory Type, First Observed, Average, Last Observed, Maximum
+native-memory-reserved|Native Memory Reserved|Memory Type, First Observed, Average, Last Observed, Maximum
+native-methods|Waiting or Executing Native Methods|Method, Samples, Percent
+network-utilization|Network Utilization
+object-statistics|Objects Occupying More than 1%|Class, Count, Heap Space, Increase
+pinned-threads|Pinned Virtual Threads|Method, Pinned Count, Longest Pinning, Total Time Pinned
+thread-count|Java Thread Statistics
+recording|Recording Information|Event Count, First Recorded Event, Last Recorded Event, Length of Recorded Events, Dump Reason
+safepoints|Safepoints|Start Time, Duration, State Syncronization, Cleanup, JNI Critical Threads, Total Threads
+longest-compilations|Longest Compilations
+longest-class-loading|Longest Class Loading|Time, Loaded Class, Load Time
+system-properties|System Properties at Startup||none, cell-height:25
+socket-writes-by-host|Socket Writes by Host|Host, Writes, Total Written|cell-height:2, none, none
+socket-reads-by-host|Socket Reads by Host|Host, Reads, Total Read|cell-height:2, none, none
+system-information|System Information|Total Physical Memory Size, OS Version, CPU Type, Number of Cores, Number of Hardware Threads, Number of Sockets, CPU Description
+system-processes|System Processes|First Observed, Last Observed, PID, Command Line
+tlabs|Thread Local Allocation Buffers|Inside TLAB Count, Inside TLAB Minimum Size, Inside TLAB Average Size, Inside TLAB Maximum Size, Inside TLAB Total Allocation, Outside TLAB Count, OutSide TLAB Minimum Size, Outside TLAB Average Size, Outside TLAB Maximum Size, Outside TLAB Total Allocation
+thread-allocation|Thread Allocation Statistics|Thread, Allocated, Percentage
+thread-cpu-load|Thread CPU Load|Thread, System, User
+thread-start|Platform Thread Start by Method|Start Time, Stack Trace, Thread, Duration
+vm-operations|VM Operations|VM Operation, Average Duration, Longest Duration, Count, Total Duration
+"""
+
 
 @dataclass(frozen=True)
 class View:
     category: str
     name: str
     query: EventQuery
+    title: str = ""
 
 
 def _items(text: str) -> list[str]:
@@ -115,32 +197,68 @@ def _column(text: str, shares: list[str]) -> Col:
     return Col(re.sub(r"/(?=\w+\])", "|", field), fn or "value", alias or None, share=alias in shares)
 
 
-def _view(line: str) -> View:
+def _headed(columns: list[Col], headers: list[str], formats: list[str]) -> list[Col]:
+    """The columns with their headers, texts for null and cell heights."""
+    out = []
+    for i, c in enumerate(columns):
+        how, _, value = (formats[i] if formats else "none").partition(":")
+        more: dict = {"label": headers[i]} if headers else {}
+        if how == "missing":
+            more["missing"] = value
+        elif how == "cell-height":
+            more["height"] = int(value)
+        out.append(replace(c, **more))
+    return out
+
+
+def _headings() -> dict[str, list[str]]:
+    lines = (x.split("|") + [""] * 2 for x in HEADINGS.strip().splitlines())
+    return {x[0]: x[1:4] for x in lines}
+
+
+def _view(line: str, headings: dict[str, list[str]]) -> View:
     name, kind, sources, columns, keys, where, order, limit, shares = (line.split("|") + [""] * 6)[:9]
     category, _, short = name.partition(".")
     frm = [From(*x.split()) for x in _items(sources)]
     shared = _items(shares)
+    title, headers, formats = headings[short]
     query = EventQuery(
         frm,
-        None if columns == "*" else [_column(c, shared) for c in _items(columns)],
+        None if columns == "*" else _headed([_column(c, shared) for c in _items(columns)], _items(headers), _items(formats)),
         where=[tuple(x.split("=")) for x in _items(where)],  # type: ignore[misc]
         group=_items(keys),
         order=[tuple(x.split()) if " " in x else x for x in _items(order)],  # type: ignore[misc]
         limit=int(limit) if limit else None,
         form=kind == "form",
     )
-    return View(category, short, query)
+    return View(category, short, query, title)
 
 
-CATALOG: dict[str, View] = {v.name: v for v in map(_view, VIEWS.strip().splitlines())}
+CATALOG: dict[str, View] = {v.name: v for v in (_view(line, _headings()) for line in VIEWS.strip().splitlines())}
 
 
 def view(catalog: Catalog, name: str) -> DataFrame:
-    """The named view, or all fields of the event type of that name; letter case doesn't count for views."""
+    """The named view, the listing ``types``, or all fields of the event type of that name; letter case doesn't count for views."""
+    if name.lower() == "types":
+        return show_events(catalog)
     found = CATALOG.get(name.lower())
     return run(catalog, found.query if found else EventQuery([From(name)]))
 
 
+def report(catalog: Catalog, name: str, **how) -> str:
+    """A view as text under its title: a form or a table, which ``how`` shapes."""
+    found = CATALOG.get(name.lower())
+    if found and found.query.form:
+        return form(view(catalog, name), title=found.title)
+    title = found.title if found else None if name.lower() == "types" else catalog.find(name)[0].label
+    return table(view(catalog, name), title=title, **how)
+
+
+def all_events(catalog: Catalog) -> dict[str, DataFrame]:
+    """All fields of each event type, by the type's name."""
+    return {name: run(catalog, EventQuery([From(name)])) for name in sorted(catalog.types)}
+
+
 def all_views(catalog: Catalog) -> dict[str, DataFrame | QueryError]:
     """Every view; a recording without its event types gives the error in its place."""
     out: dict[str, DataFrame | QueryError] = {}
