@@ -5,16 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import display
 from .operators.listing import show_events, show_fields
 from .operators.query import Col, EventQuery, From, run
 from .sources.tables import tables
+from .view_queries import QUERIES as VIEW_QUERIES
+from .view_queries import SQL as VIEW_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Query] = dict(VIEW_QUERIES)
+SQL: dict[str, str] = dict(VIEW_SQL)
 
 
 def _add(name: str, sql: str | None, query: EventQuery) -> None:
@@ -63,6 +66,10 @@ _QUANTILE = """WITH s AS (SELECT event_type AS T, list_sort(list(value)) AS v, c
 SELECT T, CASE WHEN n = 1 THEN v[1] WHEN floor(d) < 1 THEN v[1] WHEN floor(d) >= n THEN v[n] ELSE v[floor(d)::INT] + ({share}) * (v[floor(d)::INT + 1] - v[floor(d)::INT]) END AS x FROM d"""
 for _q, _p in (("p90", 0.9), ("p95", 0.95), ("p99", 0.99), ("p999", 0.9999)):
     _add(f"group_{_q}", _QUANTILE.format(p=_p, share="d - floor(d) + 1"), EventQuery([E], [T, Col(V, _q, "x")], group=["T"]))
+_ALL = _QUANTILE.replace("event_type AS T, ", "1 AS T, ").replace("SELECT T, CASE", "SELECT CASE")
+_add("all_p99", _ALL.format(p=0.99, share="d - floor(d) + 1"), EventQuery([E], [Col(V, "p99", "x")]))
+_add("all_quantiles", "SELECT median(value) AS m, quantile_cont(value, 0.5) AS m2, count(*) AS n FROM events", EventQuery([E], [Col(V, "median", "m"), Col(V, "median", "m2"), Col("*", "count", "n")]))
+_add("user_quantiles", _QUANTILE.replace("event_type AS T", "user_id AS T").format(p=0.9, share="d - floor(d) + 1"), EventQuery([E], [Col("user_id", alias="T"), Col(V, "p90", "x")], group=["T"]))
 _add("group_p95_documented", _QUANTILE.format(p=0.95, share="d - floor(d)"), EventQuery([E], [T, Col(V, "p95", "x")], group=["T"], documented=True))
 _add("group_first_documented", "SELECT event_type AS T, arg_min(value, (ts, event_id)) AS x FROM events GROUP BY 1", EventQuery([E], [T, Col(V, alias="x")], group=["T"], documented=True))
 
@@ -92,6 +99,23 @@ _add("top_k", "SELECT user_id AS u, sum(value) AS s FROM events GROUP BY 1 ORDER
 _add("normalized_topk", "SELECT o_orderpriority AS p, count(*) AS n, count(*) / sum(count(*)) OVER () AS n_share FROM orders GROUP BY 1 ORDER BY n DESC, p LIMIT 3", EventQuery([O], [Col("o_orderpriority", alias="p"), Col("*", "count", "n", share=True)], group=["p"], order=[("n", "desc")], limit=3))
 
 
+def _placed(name: str, sql: str, query: EventQuery) -> None:
+    """A query with a limit whose rows carry their place, so that their order is compared too."""
+
+    def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+        d = run(tables(spark, sf_dir), query)  # at most the limit's rows, in one partition
+        return d.withColumn("place", F.row_number().over(W.orderBy(F.monotonically_increasing_id())))
+
+    QUERIES[name], SQL[name] = rows, sql
+
+
+_placed("place_default_aggregate", "SELECT u, n, s, row_number() OVER (ORDER BY s, n, u) AS place FROM (SELECT user_id AS u, count(*) AS n, sum(event_id)::BIGINT AS s FROM events GROUP BY 1) ORDER BY s, n, u LIMIT 40", EventQuery([E], [Col("user_id", alias="u"), Col("*", "count", "n"), Col("event_id", "sum", "s")], group=["u"], limit=40))
+_placed("place_default_grouped", "SELECT DISTINCT event_type AS T, dense_rank() OVER (ORDER BY event_type) AS place FROM events", EventQuery([E], [T], group=["T"], limit=40))
+_placed("place_default_plain", "SELECT o_orderkey AS k, o_custkey AS c, row_number() OVER (ORDER BY o_orderkey) AS place FROM orders ORDER BY k LIMIT 40", EventQuery([O], [Col("o_orderkey", alias="k"), Col("o_custkey", alias="c")], limit=40))
+_placed("place_lexical_nulls", "SELECT p_name AS p, n, row_number() OVER (ORDER BY p_name DESC, n) AS place FROM (SELECT p_name, count(*) AS n FROM part GROUP BY 1) ORDER BY p DESC, n LIMIT 40", EventQuery([From("Part")], [Col("p_name", alias="p"), Col("*", "count", "n")], group=["p"], order=[("p", "desc"), ("n", "asc")], limit=40))
+_placed("place_percentage_down", "SELECT l_discount AS d, l_orderkey AS k, l_linenumber AS l, row_number() OVER (ORDER BY l_discount DESC, l_orderkey, l_linenumber, l_shipdate) AS place FROM lineitem ORDER BY l_discount DESC, l_orderkey, l_linenumber, l_shipdate LIMIT 40", EventQuery([L], [Col("l_discount", alias="d"), Col("l_orderkey", alias="k"), Col("l_linenumber", alias="l")], order=["d", "k", "l"], limit=40))
+
+
 def _texts(name: str, sql: str, columns: Callable[[], list]) -> None:
     QUERIES[name] = lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", *columns())
     SQL[name] = f"SELECT l_orderkey, l_linenumber, {sql} FROM lineitem"

@@ -9,7 +9,7 @@ from eventloom.catalog import Catalog, EventType, QueryError
 from eventloom.functions import display
 from eventloom.functions.display import FOREVER, timespan
 from eventloom.operators.query import Col, EventQuery, From, run
-from eventloom.plans.views import CATALOG, all_views, view
+from eventloom.plans.views import CATALOG, all_events, all_views, report, view
 from eventloom.render import form, table
 
 T0 = datetime(2024, 1, 1, 12)
@@ -201,3 +201,67 @@ def test_sums_of_whole_numbers_start_over(spark):
     c.add(EventType("app.A", spark.createDataFrame(rows, "id long, k long, v long"), ("id",)))
     got = run(c, EventQuery([From("A")], [Col("k"), Col("v", "sum", "s")], group=["k"])).collect()
     assert {r.k: r.s for r in got} == {0: -(2**63) + 1, 1: 2**63 - 1, 2: None, 3: 7}
+
+
+def test_views_have_titles_headers_and_formats(spark):
+    assert all(v.title for v in CATALOG.values())
+    c = Catalog()
+    c.add(EventType("jdk.FileRead", spark.createDataFrame([(0, T0, "/a/" + "x" * 400, 5), (1, T0, None, 7)], "seq int, startTime timestamp, path string, bytesRead long"), ("startTime", "seq"), "startTime"))
+    lines = report(c, "file-reads-by-path", width=60).splitlines()
+    assert lines[0].strip() == "File Reads by Path" and lines[2].split() == ["Path", "Reads", "Total", "Read"]
+    assert lines[4].startswith("N/A") and sum("x" in x for x in lines[4:]) == 5 and "..." in lines[-1]
+    assert view(c, "types").first()[:] == ("jdk.FileRead", 2) and list(all_events(c)) == ["jdk.FileRead"]
+    loaders = spark.createDataFrame([(0, T0, None, 1, 2)], "seq int, startTime timestamp, classLoader string, hiddenClassCount long, classCount long")
+    c.add(EventType("jdk.ClassLoaderStatistics", loaders, ("startTime", "seq"), "startTime"))
+    assert report(c, "class-loaders").splitlines()[-1].split() == ["null-bootstrap", "1", "2"]
+    weights = spark.createDataFrame([(0, T0, "a", 3), (1, T0, "b", 1)], "seq int, startTime timestamp, objectClass string, weight long")
+    c.add(EventType("jdk.ObjectAllocationSample", weights, ("startTime", "seq"), "startTime"))
+    assert [x.split() for x in report(c, "allocation-by-class").splitlines()[2:]] == [["Object", "Type", "Allocation", "Pressure"], ["-" * 11, "-" * 19], ["a", "75.00%"], ["b", "25.00%"]]
+
+
+def test_stacks_and_compact_texts(spark):
+    trace = f"stackTrace struct<truncated boolean, frames array<{FRAME}>>"
+    frame = lambda name, kind: ((("a.long.package.C", ("app", "l")), name, "(ILjava/lang/String;)V"), 1, kind)
+    rows = [(0, T0, (False, [frame("one", "Interpreted"), frame("two", "Native"), frame("three", "Inlined")]))]
+    c = Catalog()
+    c.add(EventType("app.A", spark.createDataFrame(rows, f"seq int, startTime timestamp, {trace}"), ("startTime", "seq"), "startTime"))
+    tall = run(c, EventQuery([From("A")], [Col("stackTrace", height=3)]))
+    assert table(tall).splitlines()[2:] == ["a.long.package.C.one(int, String)", "a.long.package.C.three(int, String)"]
+    assert table(tall, width=28).splitlines()[2] == "a.long.package.C.one(...)"
+    assert table(run(c, EventQuery([From("A")], [Col("stackTrace")])), width=26).splitlines()[2] == "a.long.package.C.one(...)"
+
+
+def test_settings_name_their_type(spark):
+    rows = [(0, T0, 7, "enabled", "true"), (1, T0, 8, "enabled", "false"), (2, T0, 9, "enabled", "true")]
+    c = Catalog()
+    c.add(EventType("jdk.ActiveSetting", spark.createDataFrame(rows, "seq int, startTime timestamp, id long, name string, value string"), ("startTime", "seq"), "startTime", id=8))
+    c.add(EventType("jdk.FileRead", spark.range(0), ("id",), id=7))
+    assert [r[0] for r in view(c, "active-settings").collect()] == ["Active Setting", "File Read", None]
+
+
+def test_quantiles_of_extreme_values(spark):
+    """Held against sorting: every sign and size, ties, null keys, few and many values."""
+    import random
+
+    rnd = random.Random(3)
+    nan, inf = float("nan"), float("inf")
+    odd = [nan, inf, -inf, 0.0, -0.0, 5e-324, -5e-324, 1.7e308, -1.7e308, 1e15 + 1, 1e15 + 2, None]
+    rows = [(k, x) for k in ("a", None, "b") for x in odd] + [("c", rnd.choice([-1, 1]) * 10 ** rnd.uniform(-3, 3)) for _ in range(500)] + [("d", float(i % 3)) for i in range(200)] + [("e", None)]
+    c = catalog(spark, A=(rows, "k string, v double"))
+    names = ("median", "p90", "p95", "p99", "p999")
+    for documented in (True, False):
+        q = EventQuery([From("A")], [Col("k"), *[Col("v", n, n) for n in names]], group=["k"], documented=documented)
+        got = {r.k: r for r in run(c, q).collect()}
+        assert set(got) == {"a", "b", "c", "d", "e", None}
+        for k in got:
+            own = [v for g, v in rows if g == k and v is not None]
+            finite = sorted(v for v in own if abs(v) < inf)
+            middle = finite if documented else sorted(own, key=lambda v: (v != v, v))
+            n = len(middle)
+            low, high = (middle[(n - 1) // 2], middle[n // 2]) if n else (None, None)
+            assert got[k].median == (None if not n else low if low == high else pytest.approx(0.5 * low + 0.5 * high))
+            for name, p in (("p90", 0.9), ("p95", 0.95), ("p99", 0.99), ("p999", 0.999 if documented else 0.9999)):
+                n, d = len(finite), (len(finite) + 1) * p
+                i = int(d)
+                want = None if not n else finite[0] if i < 1 else finite[-1] if i >= n else finite[i - 1] + (d - i + (not documented)) * (finite[i] - finite[i - 1])
+                assert got[k][name] == (want if want is None or abs(want) == inf else pytest.approx(want)), (k, name)

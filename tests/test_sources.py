@@ -16,6 +16,21 @@ def test_printed_recording(spark, tmp_path):
     assert spark.range(1).select(nanoseconds(F.lit("-PT2S"))).first()[0] == -2_000_000_000
 
 
+def test_recording_by_lines(spark, tmp_path):
+    events = [{"type": "jdk.A" if i % 2 else "jdk.B", "values": {"startTime": "2024-01-01T00:00:00Z", "a" if i % 2 else "b": i}} for i in range(200)]
+    (tmp_path / "r.json").write_text("\n".join(map(json.dumps, events)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        for into in (None, str(tmp_path / "types")):
+            c = recording(spark, str(tmp_path / "r.json"), lines=True, into=into, type_ids={"jdk.A": 5})
+            assert list(c.types) == ["jdk.A", "jdk.B"] and c.types["jdk.A"].id == 5 and "b" not in c.types["jdk.A"].df.columns
+            assert c.types["jdk.A"].df.rdd.getNumPartitions() > 1
+            got = run(c, EventQuery([From("A"), From("B")], [Col("a", "list", "x"), Col("a", "last", "y"), Col("b", "first", "z")], form=True)).first()
+            assert got[:] == (", ".join(str(i) for i in range(1, 200, 2)), 199, 0)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_stream(spark, tmp_path):
     spark.sql("select timestamp_seconds(id * 60) ts, id, id % 2 k, id * 1.0D v from range(20)").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("ts timestamp, id long, k long, v double").parquet(str(tmp_path / "in"))
