@@ -17,6 +17,8 @@ import pyarrow as pa
 
 #: Bytes of a word above which it is hashed by itself.
 LONG = 64
+#: Words of a step: few enough for its arrays to stay in the processor's cache.
+AT_ONCE = 1 << 13
 
 BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -31,15 +33,20 @@ LEFT, RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 def mix(x: np.ndarray) -> np.ndarray:
     """Spreads every input bit over the whole number, one to one."""
     x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """The hash of two stretches one after the other."""
-    return mix(mix(left * LEFT + np.uint64(1)) + right * RIGHT)
+    out = left * LEFT
+    out += np.uint64(1)
+    out = mix(out)
+    out += right * RIGHT
+    return mix(out)
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -67,6 +74,17 @@ def word_hashes(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.n
     padded = np.r_[data, np.zeros(8, np.uint8)]
     # The eight bytes from each position on.
     eights = np.ndarray((len(data) + 1,), "<u8", padded.data, strides=(1,))
+    out = np.empty(len(starts), np.uint64)
+    for i in range(0, len(starts), AT_ONCE):
+        out[i : i + AT_ONCE] = _short_words(eights, starts[i : i + AT_ONCE], sizes[i : i + AT_ONCE])
+    for i in np.flatnonzero(sizes > LONG):
+        word = data[starts[i] : starts[i] + sizes[i]].tobytes()
+        out[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+    return out, np.searchsorted(starts, offsets)
+
+
+def _short_words(eights: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Hashes of words of at most LONG bytes; those of longer ones are to be replaced."""
     out = mix(sizes.astype(np.uint64) * LEFT)
     left = np.flatnonzero(sizes <= LONG)
     at = 0
@@ -75,17 +93,20 @@ def word_hashes(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.n
         out[left] = mix((out[left] ^ piece) * RIGHT + LEFT)
         at += 8
         left = left[sizes[left] > at]
-    for i in np.flatnonzero(sizes > LONG):
-        word = data[starts[i] : starts[i] + sizes[i]].tobytes()
-        out[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-    return out, np.searchsorted(starts, offsets)
+    return out
 
 
 def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
     """The hash of every window of ``size`` words; windows across two texts are the caller's to leave out."""
+    n = max(0, len(words) - size + 1)
+    out = np.empty(n, np.uint64)
+    for i in range(0, n, AT_ONCE):
+        out[i : i + AT_ONCE] = _windows(words[i : i + AT_ONCE + size - 1], size)
+    return out
+
+
+def _windows(words: np.ndarray, size: int) -> np.ndarray:
     n = len(words) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
     out, done, stretch, covers = None, 0, words, 1
     while True:
         if size & covers:  # the stretches of 1, 2, 4, ... words that make up the size, from left to right
